@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, topk
+from . import exact_dedup, mixing, packing, simhash, topk, toxicity
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_topk": topk.op5_topk,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op8_simhash": simhash.op8_simhash,
     "op9_packing": packing.op9_packing,
     "op10_mixing": mixing.op10_mixing,
 }
