@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, simhash, topk, toxicity
+from . import exact_dedup, html, mixing, packing, pii, simhash, topk, toxicity
 
 QUERIES = {
+    "op2_html": html.op2_html,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_pii": pii.op4_pii,
     "op5_topk": topk.op5_topk,
     "op6_toxicity": toxicity.op6_toxicity,
     "op8_simhash": simhash.op8_simhash,
