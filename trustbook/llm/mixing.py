@@ -6,8 +6,8 @@ within the source, are prefix-summed against what the target leaves after comple
 prefix sum is spread: sizes are summed by (source, key slice), only the slice in which the
 budget ends is sorted row by row, so a hot source never meets in one task.
 
-Defined cases: null text has size 0, a null source is a source of its own (sorted last), a null
-id draws its key from the rest of the row; ties go by key, id, size; repeated rows are documents
+Defined cases: null text has size 0, a null source is a source of its own (sorted last);
+a null id is one like any other; ties go by key, id, size; repeated rows are documents
 of their own; sources of size 0 take nothing; an empty table gives none. The draw depends on the
 seed and the row alone, so that reruns agree.
 """
@@ -101,7 +101,7 @@ def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """doc_id, source, size and key of each document, without its text."""
     t = text_of(F.col(f"`{text_col}`"))
     doc = F.col(f"`{id_col}`").cast("long")
-    return docs.select(doc.alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), n_words(t).cast("long").alias("size"), draw(quality_weight(t), doc, F.when(doc.isNull(), t), seed=seed).alias("key"))
+    return docs.select(doc.alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), n_words(t).cast("long").alias("size"), draw(quality_weight(t), doc, F.xxhash64(t), seed=seed).alias("key"))
 
 
 def mix_plan(docs: DataFrame, whole: bool = False, **columns) -> DataFrame:
@@ -113,17 +113,16 @@ def mix_plan(docs: DataFrame, whole: bool = False, **columns) -> DataFrame:
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: whole documents, each as often as it is taken, with all their columns.
 
-    The number of copies is a function of (source, key, size) alone but for the slice in which the
-    budget ends; both are joined back by id and key, so that the text moves at most once.
+    The number of copies is joined back by id, source and key (a hash of id and text), so that the text
+    moves at most once and documents that share an id stay apart. Repeated rows are taken alike.
     """
-    rows = drawn(docs, id_col, text_col, source_col)
-    plan = mixed(materialize(rows, "drawn"), True).where("copies > 0").groupBy("doc_id", "key", "size").agg(F.max("copies").alias("copies"))
-    names = {k: fresh(docs, k) for k in ("id", "key", "copies", "copy")}
+    plan = mixed(materialize(drawn(docs, id_col, text_col, source_col), "drawn"), True).where("copies > 0").groupBy("doc_id", "source", "key").agg(F.max("copies").alias("copies"))
+    id_, source, key, own, copies, copy = (fresh(docs, k) for k in ("mix_id", "mix_source", "mix_key", "mix_own", "mix_copies", "mix_copy"))
     t, doc = text_of(F.col(f"`{text_col}`")), F.col(f"`{id_col}`").cast("long")
-    plan = plan.select(F.col("doc_id").alias(names["id"]), F.col("key").alias(names["key"]), F.col("copies").alias(names["copies"]))
-    full = docs.withColumn("__k" + names["key"], draw(quality_weight(t), doc, F.when(doc.isNull(), t)))
-    out = full.join(plan, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(names["id"])) & (F.col("__k" + names["key"]) == F.col(names["key"])))
-    return out.withColumn(names["copy"], F.explode(F.sequence(F.lit(1), F.col(names["copies"])))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    plan = plan.select(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("key").alias(key), F.col("copies").alias(copies))
+    full = docs.withColumn(own, draw(quality_weight(t), doc, F.xxhash64(t)))
+    out = full.join(plan, doc.eqNullSafe(F.col(id_)) & F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col(source)) & (F.col(own) == F.col(key)))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
