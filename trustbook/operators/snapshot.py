@@ -14,9 +14,8 @@ CLOCKS = ("ingest_monotonic", "node_monotonic+gateway_monotonic")
 def ticks(first_ns: int, last_ns: int, every_ns: int, streams: DataFrame) -> DataFrame:
     """A row per tick and stream, seq from 1."""
     n = max(0, (last_ns - first_ns) // every_ns)
-    spine = streams.sparkSession.range(1, n + 1).select(F.col("id").alias("seq"), (F.lit(first_ns) + F.col("id") * every_ns).alias("tick_ns"))
-    key = streams.select(*STREAM).distinct()
-    return spine.withColumn("one", F.lit(1)).join(key.withColumn("one", F.lit(1)), "one").drop("one")
+    seq = F.explode(F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>"))
+    return streams.select(*STREAM).distinct().withColumn("seq", seq).select(F.col("seq").cast("long").alias("seq"), (F.lit(first_ns) + F.col("seq").cast("long") * every_ns).alias("tick_ns"), *STREAM)
 
 
 def as_of(spine: DataFrame, timeline: DataFrame, value: Column, at: str = "at_ns", slice_ns: int = 86_400_000_000_000) -> DataFrame:

@@ -57,7 +57,7 @@ def assemble(rows: DataFrame) -> DataFrame:
     """One row per event, keyed by file and number; rows that don't make sense are left out (see ``quarantine``)."""
     good = rows.withColumn("why", invalid()).where("why IS NULL")
     side = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("level_index", "price", "qty")))), lambda x: F.struct(x["price"].alias("price"), x["qty"].alias("qty")))
-    first = [c for c in ("ingest_wall_unix_nanos", "ingest_elapsed_nanos", "venue_ts_unix_nanos", "checksum", "heartbeat_counter", "taker_side")]
+    first = ("ingest_wall_unix_nanos", "ingest_elapsed_nanos", "venue_ts_unix_nanos", "checksum", "heartbeat_counter", "taker_side")
     trade = lambda c: F.max(F.when(F.col("kind") == "trade", F.col(c)))
     return good.groupBy("file", "event_seq", "venue", "symbol", "kind").agg(*(F.first(c, ignorenulls=True).alias(c) for c in first), side("bid").alias("bids"), side("ask").alias("asks"), trade("price").alias("price"), trade("qty").alias("qty"))
 
@@ -68,7 +68,11 @@ def quarantine(rows: DataFrame) -> DataFrame:
 
 def flatten(events: DataFrame) -> DataFrame:
     """Event rows of assembled events; an event without levels keeps one row."""
-    tagged = F.concat(*(F.transform(c, lambda x, i, s=s: F.struct(F.lit(s).alias("side"), x["price"].alias("p"), x["qty"].alias("q"), i.alias("level_index"))) for c, s in (("bids", "bid"), ("asks", "ask"))))
+
+    def side(column: str, name: str) -> Column:
+        return F.transform(column, lambda x, i: F.struct(F.lit(name).alias("side"), x["price"].alias("p"), x["qty"].alias("q"), i.alias("level_index")))
+
+    tagged = F.concat(side("bids", "bid"), side("asks", "ask"))
     x = events.withColumn("x", F.explode_outer(tagged))
     return x.select("event_seq", "venue", "symbol", "kind", "ingest_wall_unix_nanos", "ingest_elapsed_nanos", "venue_ts_unix_nanos", F.col("x.side").alias("side"), F.coalesce("x.p", "price").alias("price"), F.coalesce("x.q", "qty").alias("qty"), F.col("x.level_index").alias("level_index"), "checksum", "heartbeat_counter", "taker_side")
 

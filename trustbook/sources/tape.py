@@ -23,9 +23,10 @@ def follow(spark: SparkSession, path: str, fallback_symbol: str | None = None, f
     return _clean(spark.readStream.schema(TAPE).option("maxFilesPerTrigger", files_per_trigger).json(path), fallback_symbol)
 
 
-def write(frames: DataFrame, path: str) -> None:
-    """Frames and boundaries; text that isn't valid can't be in a string column, so nothing is refused here."""
-    frames.select(*(f.name for f in TAPE.fields)).write.mode("append").option("compression", "gzip").json(path)
+def write(frames: DataFrame, path: str, files: int = 1) -> None:
+    """Frames and boundaries, in order: files by range of time, lines by time. A string column can't hold invalid text."""
+    ordered = frames.select(*(f.name for f in TAPE.fields)).repartitionByRange(files, "elapsed_nanos").sortWithinPartitions("elapsed_nanos")
+    ordered.write.mode("append").option("compression", "gzip").json(path)
 
 
 def paced(frames: DataFrame, speed: float) -> DataFrame:

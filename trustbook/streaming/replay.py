@@ -17,8 +17,9 @@ COLUMNS = ("venue", "symbol", "ord", "elapsed_ns", "wall_ns", "input", "source",
 
 
 def from_frames(tape: DataFrame) -> DataFrame:
-    """Messages of a raw-frame tape."""
-    return tape.select("venue", "symbol", F.monotonically_increasing_id().alias("ord"), F.col("elapsed_nanos").alias("elapsed_ns"), F.col("recorded_wall_unix_nanos").alias("wall_ns"), F.coalesce("kind", F.lit("frame")).alias("input"), F.coalesce("source", F.lit("web_socket")).alias("source"), "payload")
+    """Messages of a raw-frame tape; frames of the same instant keep their order in the file (a stream has only the instant)."""
+    ord_ = F.col("elapsed_nanos") if tape.isStreaming else F.monotonically_increasing_id()
+    return tape.select("venue", "symbol", ord_.alias("ord"), F.col("elapsed_nanos").alias("elapsed_ns"), F.col("recorded_wall_unix_nanos").alias("wall_ns"), F.coalesce("kind", F.lit("frame")).alias("input"), F.coalesce("source", F.lit("web_socket")).alias("source"), "payload")
 
 
 def from_events(boundaries: DataFrame | None, rows: DataFrame) -> DataFrame:
