@@ -72,3 +72,25 @@ def wire(df: DataFrame, clock: str = CLOCKS[0]) -> DataFrame:
     """One JSON text per row; decimals leave as strings, durations name their clock."""
     cols = [F.col(f.name).cast("string").alias(f.name) if f.dataType.typeName() == "decimal" else F.col(f.name) for f in df.schema.fields]
     return df.select(F.to_json(F.struct(*cols, F.lit(clock).alias("clock"))).alias("json"))
+
+
+def published(top: DataFrame, touch: DataFrame, depth: DataFrame, seq: int, tick_ns: int) -> DataFrame:
+    """The nested snapshot: one row, symbols in order of name, venues in order of rank, decimals as text.
+
+    top: one row per stream; touch: what ``cross_touch`` gives; depth: ladder rows (level, side, price, qty).
+    A snapshot holds a bounded number of streams and levels; it is what one node publishes.
+    """
+    text = lambda c: F.col(c).cast("string").alias(c)
+    ladders = depth.groupBy(*STREAM).agg(F.array_sort(F.collect_list(F.struct("side", "level", text("price"), text("qty")))).alias("levels"))
+    view = F.struct("venue_rank", "venue", "live", "integrity", text("bid"), text("ask"), "age_ns", "levels_held", F.coalesce("levels", F.expr("cast(array() AS array<struct<side:string,level:int,price:string,qty:string>>)")).alias("levels"))
+    symbols = top.join(ladders, list(STREAM), "left").groupBy("symbol").agg(F.array_sort(F.collect_list(view)).alias("venues"))
+    cross = touch.select("symbol", F.struct(text("bid"), text("ask"), "bid_venue", "ask_venue", text("spread"), text("spread_bps"), "crossed", "single_venue", "oldest_leg_ms", "integrity_floor", "excluded").alias("cross"))
+    rows = symbols.join(cross, "symbol", "left").agg(F.array_sort(F.collect_list(F.struct("symbol", "venues", "cross"))).alias("symbols"))
+    return rows.select(F.lit(seq).cast("long").alias("seq"), F.lit(tick_ns).cast("long").alias("tick_ns"), F.lit(CLOCKS[0]).alias("clock"), "symbols")
+
+
+def last_queued(messages: DataFrame, drain: str, order: str, capacity: int = 1024) -> DataFrame:
+    """What a bounded queue that drops its oldest would have kept of each drain, and how many it dropped before each row."""
+    w = Window.partitionBy(drain).orderBy(F.desc(order))
+    n = F.count(F.lit(1)).over(Window.partitionBy(drain))
+    return messages.withColumn("place", F.row_number().over(w)).withColumn("dropped", F.greatest(n - capacity, F.lit(0))).where(F.col("place") <= capacity).drop("place")
