@@ -39,7 +39,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("address article blockquote body br caption center dd div dl dt figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary details table tbody td tfoot th thead tr ul".split()) | DROPPED
 CONTAINERS = frozenset("article main section div td body".split())
 CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
-BOILERPLATE = frozenset("ad ads adv advert adverts advertisement advertising adbox banner breadcrumb breadcrumbs comment comments commentlist respond disqus cookie cookies consent notice notices alert footer foot header masthead menu menubar nav navbar navigation pager pagination popup modal promo promos promoted related recommended share sharing social sidebar sidebars sponsor sponsored sponsors subscribe newsletter signup login search skip tags toolbar widget widgets".split())
+BOILERPLATE = frozenset("ad ads adv advert adverts advertisement advertising adbox adslot adunit adsbygoogle banner breadcrumb breadcrumbs comment comments commentlist respond replies discussion reactions disqus cookie cookies consent notice notices notification notifications announcement disclaimer gdpr alert footer foot header masthead menu menubar nav navbar navigation pager pagination popup modal promo promos promoted related recommended share sharing social sidebar sidebars sponsor sponsored sponsors subscribe newsletter signup login search skip tags toolbar widget widgets".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 SEMANTIC = {"article": 3.0, "main": 2.0}
 NAME = re.compile(r"[A-Za-z]+")

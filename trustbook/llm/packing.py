@@ -12,14 +12,18 @@ of their own; ties go by id, then checksum; any other column is ignored; an empt
 from __future__ import annotations
 
 import base64
+import os
 import zlib
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import materialize, shuffles, table
 
@@ -34,21 +38,13 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 @lru_cache(maxsize=2)
 def _coders(vocabulary: str):
     """(fast coder, reference coder) for a byte-level vocabulary file; the fast one reads the same ranks."""
-    from tokenizers import Tokenizer
-
     slow = Tokenizer.from_file(vocabulary)
-    fast = None
-    if vocabulary.endswith(".json"):
-        try:
-            import public_tokenizers
-            import tiktoken
-
-            with open(vocabulary.removesuffix(".json") + ".tiktoken", "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        except (ImportError, FileNotFoundError):
-            fast = None
-    return fast, slow
+    ranks_file = vocabulary.removesuffix(".json") + ".tiktoken"
+    if not os.path.exists(ranks_file):
+        return None, slow
+    with open(ranks_file, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), slow
 
 
 def token_ids(text: str, vocabulary: str) -> np.ndarray:
@@ -164,6 +160,4 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
