@@ -18,15 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is absent (single-machine tests) a local folder is made and set.
+    Only where that setting is absent (single-machine tests) a local folder is made, one for an application.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='trustbook-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = f"file://{tempfile.mkdtemp(prefix='trustbook-')}"
+        found = _OWN[app]
     return found.rstrip("/")
 
 
@@ -81,5 +86,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def bounded(df: DataFrame, limit: int) -> DataFrame:
-    """``F.broadcast(df)`` if it proves to have at most ``limit`` rows, else ``df``, which is then shuffled."""
-    return F.broadcast(df) if len(df.limit(limit + 1).select(F.lit(1)).collect()) <= limit else df
+    """``F.broadcast(df)`` if it is counted to have at most ``limit`` rows, else ``df``, which is then shuffled.
+
+    For tables that ``materialize`` wrote: their count reads no column.
+    """
+    return F.broadcast(df) if df.count() <= limit else df
