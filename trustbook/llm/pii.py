@@ -55,6 +55,7 @@ CONTEXT = {
 }
 FEATURES = ("kind", "digits", "groups", "longest", "plus", "luhn", "marks", "brackets", "length", "dots", "tail", "before", "after", "other", "glued", "words")
 TRAIN_ROWS = 6000
+PLACED = 256
 TREES = 40
 DEPTH = 3
 RATE = 0.3
@@ -69,12 +70,14 @@ def located(text: str, pattern: str, gate: str) -> str:
     """SQL: array of (s, e, m, b): start, end, match, 40 characters before it."""
     p = _quote(pattern)
     kind = "array<struct<s:int,e:int,m:string,b:string>>"
-    return f"""CASE WHEN {text} RLIKE {_quote(gate)} THEN aggregate(
-        arrays_zip(regexp_extract_all({text}, {p}, 0), split({text}, {p}, -1)),
-        named_struct('p', 0, 'o', cast(array() AS {kind})),
-        (c, x) -> named_struct('p', c.p + length(x['1']) + coalesce(length(x['0']), 0),
-            'o', CASE WHEN x['0'] IS NULL THEN c.o ELSE concat(c.o, array(named_struct('s', c.p + length(x['1']), 'e', c.p + length(x['1']) + length(x['0']), 'm', x['0'], 'b', right(x['1'], 40)))) END),
-        c -> c.o) ELSE cast(array() AS {kind}) END"""
+    zipped = f"arrays_zip(regexp_extract_all({text}, {p}, 0), split({text}, {p}, -1))"
+    # matches are placed in runs of PLACED, and runs one after the other, so that lists are copied in short pieces only
+    runs = f"transform(sequence(0, (size(z) - 1) div {PLACED}), i -> slice(z, i * {PLACED} + 1, {PLACED}))"
+    within = f"""aggregate(r, named_struct('p', 0, 'o', cast(array() AS {kind})), (c, x) -> named_struct('p', c.p + length(x['1']) + coalesce(length(x['0']), 0),
+        'o', CASE WHEN x['0'] IS NULL THEN c.o ELSE concat(c.o, array(named_struct('s', c.p + length(x['1']), 'e', c.p + length(x['1']) + length(x['0']), 'm', x['0'], 'b', right(x['1'], 40)))) END))"""
+    shifted = "transform(k.o, y -> named_struct('s', y.s + d.p, 'e', y.e + d.p, 'm', y.m, 'b', y.b))"
+    placed = f"aggregate(transform({runs}, r -> {within}), named_struct('p', 0, 'o', cast(array() AS array<{kind}>)), (d, k) -> named_struct('p', d.p + k.p, 'o', concat(d.o, array({shifted}))), d -> flatten(d.o))"
+    return f"CASE WHEN {text} RLIKE {_quote(gate)} THEN element_at(transform(array({zipped}), z -> {placed}), 1) ELSE cast(array() AS {kind}) END"
 
 
 def _valid(kind: str) -> str:
