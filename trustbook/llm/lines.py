@@ -32,15 +32,17 @@ OPEN = 3
 LONG = 8
 MIN_DOCS = 5
 BROADCAST_TEMPLATES = 500_000
-VARIABLE = re.compile(r"\S*[0-9@]\S*|\S*://\S*")
+VARIABLE = re.compile(r"[0-9@]")
 WILD = "\x00"
 
 
 def templates(line: str) -> list[int]:
     """Hashes of the templates of a line: its masked form first."""
-    tokens = VARIABLE.sub(WILD, line).split()
+    tokens = line.split()
     if not tokens:
         return []
+    if VARIABLE.search(line) or "://" in line:
+        tokens = [WILD if VARIABLE.search(t) or "://" in t else t for t in tokens]
     h = xxhash.xxh64_intdigest
     leaf = f"{len(tokens)}\x01" + " ".join(tokens[:LEAD])
     out = [h(leaf + "\x01" + " ".join(tokens[LEAD:]), 1)]
@@ -87,7 +89,7 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
     known = bounded(materialize(recurring(docs, text_col, min_docs).select(F.col("template").alias("k")), "templates"), BROADCAST_TEMPLATES)
     lines = rows.mapInArrow(_listed, "doc_id long, th long, line long, template long").join(known, F.col("template") == F.col("k"), "left_semi")
     drop = lines.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.sort_array(F.collect_set(F.col("line").cast("int"))).alias("dropped"))
-    size = F.when(F.length("text") > 0, F.length("text") - F.length(F.translate("text", "\n", "")) + 1).otherwise(0)
+    size = F.when(F.octet_length("text") > 0, F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).otherwise(0)
     out = rows.select("doc_id", "th", F.coalesce(size, F.lit(0)).cast("long").alias("n_lines")).join(drop, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
     return out.select("doc_id", "th", "n_lines", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
 
