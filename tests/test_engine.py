@@ -190,7 +190,7 @@ def test_native_book_refuses_deltas_without_trust(spark):
     state = book.current_epoch(m)
     held = book.book_asof(book.applied_levels(m), state)
     assert {(r["side"], int(r["price"]), int(r["qty"])) for r in held.collect()} == {("bid", 998, 4), ("bid", 999, 7), ("ask", 1002, 4)}
-    top = book.top_of_book(held, state, F.lit(6 * MS)).first()
+    top = book.top_of_book(book.held_asof(book.applied_levels(m), state), state, F.lit(6 * MS)).first()
     assert (int(top["bid"]), int(top["ask"]), top["live"], top["age_ns"]) == (999, 1002, False, 3 * MS)
 
 

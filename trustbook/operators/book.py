@@ -28,17 +28,22 @@ def applied_levels(messages: DataFrame) -> DataFrame:
 
 
 def current_epoch(messages: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """State of each stream: epoch, live, last update of its book and the latest message, as of an instant."""
+    """State of each stream as of an instant: its epoch and whether it is live. Needs no running state, so raw messages will do."""
     m = messages if as_of is None else messages.where(F.col("at_ns") <= as_of)
-    updates = (F.col("kind") == "snapshot") | ((F.col("kind") == "delta") & F.col("live"))
-    return m.groupBy(*STREAM).agg(F.max("epoch").alias("epoch"), F.max_by("live", "at_ns").alias("live"), F.max(F.when(updates, F.col("at_ns"))).alias("last_update_ns"), F.max_by("integrity", "at_ns").alias("integrity"), F.max_by("venue_rank", "at_ns").alias("venue_rank"))
+    mark = F.when(F.col("kind") == "snapshot", 1).when(F.col("kind") == "session_ended", 0)
+    last = F.max_by(mark, F.when(mark.isNotNull(), F.col("at_ns")))
+    return m.groupBy(*STREAM).agg(F.count_if(F.col("kind") == "snapshot").alias("epoch"), (F.coalesce(last, F.lit(0)) == 1).alias("live"), F.max_by("integrity", "at_ns").alias("integrity"), F.max_by("venue_rank", "at_ns").alias("venue_rank"))
+
+
+def held_asof(levels: DataFrame, state: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """What was last said about each price of the current epoch: qty (zero: deleted) and updated_ns."""
+    rows = levels if as_of is None else levels.where(F.col("at_ns") <= as_of)
+    return rows.join(state.select(*KEY), list(KEY)).groupBy(*STREAM, "side", "price").agg(F.max_by("qty", "at_ns").alias("qty"), F.max("at_ns").alias("updated_ns"))
 
 
 def book_asof(levels: DataFrame, state: DataFrame, as_of: Column | None = None) -> DataFrame:
     """(venue, symbol, side, price, qty) that the books hold."""
-    rows = levels if as_of is None else levels.where(F.col("at_ns") <= as_of)
-    latest = rows.join(state.select(*KEY), list(KEY)).groupBy(*STREAM, "side", "price").agg(F.max_by("qty", "at_ns").alias("qty"))
-    return latest.where("qty > 0")
+    return held_asof(levels, state, as_of).where("qty > 0").drop("updated_ns")
 
 
 def best_first() -> Column:
@@ -52,15 +57,20 @@ def ladder(book: DataFrame, depth: int) -> DataFrame:
     return book.withColumn("level", F.row_number().over(w)).where(F.col("level") <= depth)
 
 
-def top_of_book(book: DataFrame, state: DataFrame, as_of: Column) -> DataFrame:
-    """One row per stream: best prices, spread and mid (NULL unless both sides are there), trust and age."""
-    bid, ask = F.col("side") == "bid", F.col("side") == "ask"
-    best = book.groupBy(*STREAM).agg(
+def top_of_book(held: DataFrame, state: DataFrame, as_of: Column) -> DataFrame:
+    """One row per stream: best prices, spread and mid (NULL unless both sides are there), trust and age.
+
+    held: what ``held_asof`` gives; a deleted level still counts as an update.
+    """
+    full = F.col("qty") > 0
+    bid, ask = full & (F.col("side") == "bid"), full & (F.col("side") == "ask")
+    best = held.groupBy(*STREAM).agg(
         F.max(F.when(bid, F.col("price"))).alias("bid"),
         F.min(F.when(ask, F.col("price"))).alias("ask"),
         F.max_by(F.when(bid, F.col("qty")), F.when(bid, F.col("price"))).alias("bid_qty"),
         F.min_by(F.when(ask, F.col("qty")), F.when(ask, F.col("price"))).alias("ask_qty"),
-        F.count(F.lit(1)).alias("levels_held"),
+        F.count_if(full).alias("levels_held"),
+        F.max("updated_ns").alias("last_update_ns"),
     )
     out = state.join(best, list(STREAM), "left")
     return out.withColumns({"spread": F.col("ask") - F.col("bid"), "mid": ((F.col("bid") + F.col("ask")) / 2).cast("decimal(18,8)"), "age_ns": as_of - F.col("last_update_ns"), "levels_held": F.coalesce("levels_held", F.lit(0))})

@@ -21,10 +21,13 @@ def _same(a: str, b: str) -> Column:
 
 
 def with_epochs(messages: DataFrame, slice_ns: int = SLICE_NS, order: str = "at_ns") -> DataFrame:
-    """Adds epoch (snapshots so far), session_id (boundaries so far) and boundary (the last of snapshot and session_ended)."""
+    """Adds epoch (snapshots so far), session_id (boundaries so far) and live (the last boundary was a snapshot).
+
+    Boundaries travel as numbers, so that every aggregate here has a fixed-width buffer and stays a hash aggregate.
+    """
     m = messages.withColumn("slice", F.expr(f"{order} div {slice_ns}"))
-    marks = F.when(F.col("kind").isin("snapshot", "session_ended"), F.col("kind"))
-    per = m.groupBy(*STREAM, "slice").agg(F.count_if(F.col("kind") == "snapshot").alias("n"), F.count_if(F.col("kind") == "session_ended").alias("d"), F.max_by(marks, F.when(marks.isNotNull(), F.col(order))).alias("b"))
+    mark = F.when(F.col("kind") == "snapshot", 1).when(F.col("kind") == "session_ended", 0)
+    per = m.groupBy(*STREAM, "slice").agg(F.count_if(F.col("kind") == "snapshot").alias("n"), F.count_if(F.col("kind") == "session_ended").alias("d"), F.max_by(mark, F.when(mark.isNotNull(), F.col(order))).alias("b"))
     w = Window.partitionBy(*STREAM).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     before = per.select(*STREAM, "slice", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("n0"), F.coalesce(F.sum("d").over(w), F.lit(0)).alias("d0"), F.last("b", ignorenulls=True).over(w).alias("b0"))
     inner = Window.partitionBy(*STREAM, "slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -32,8 +35,7 @@ def with_epochs(messages: DataFrame, slice_ns: int = SLICE_NS, order: str = "at_
     return (
         out.withColumn("epoch", F.col("n0") + F.count_if(F.col("kind") == "snapshot").over(inner))
         .withColumn("session_id", F.col("d0") + F.count_if(F.col("kind") == "session_ended").over(inner))
-        .withColumn("boundary", F.coalesce(F.last(marks, ignorenulls=True).over(inner), F.col("b0")))
-        .withColumn("live", F.coalesce(F.col("boundary") == "snapshot", F.lit(False)))
+        .withColumn("live", F.coalesce(F.last(mark, ignorenulls=True).over(inner), F.col("b0"), F.lit(0)) == 1)
         .drop("slice", "n0", "d0", "b0")
     )
 

@@ -34,13 +34,13 @@ class Market:
         self.levels = book.applied_levels(self.messages)
 
     def state(self, as_of=None) -> DataFrame:
-        return book.current_epoch(self.messages, as_of)
+        return book.current_epoch(self.raw, as_of)
 
     def book(self, as_of=None) -> DataFrame:
         return book.book_asof(self.levels, self.state(as_of), as_of)
 
     def top(self) -> DataFrame:
-        return book.top_of_book(self.book(), self.state(), self.now)
+        return book.top_of_book(book.held_asof(self.levels, self.state()), self.state(), self.now)
 
     def touch(self) -> DataFrame:
         return book.touch_timeline(self.messages, self.levels)
