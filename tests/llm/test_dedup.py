@@ -169,6 +169,16 @@ def test_lines_against_brute_force(spark):
     assert {r["doc_id"]: r["dropped"] for r in lines.marked(frame(spark, rows)).collect()} == want
 
 
+def test_long_lines_of_two_different_texts_go(spark):
+    passage = " ".join(f"{chr(97 + i % 26)}word{chr(97 + i // 26)}" for i in range(60))
+    sentence = "a sentence with eight words or a few more"
+    rows = [(1, f"own first\n{passage}", "en", "s", 0), (2, f"{passage}\nown second", "en", "s", 0), (3, f"{sentence}\nx", "en", "s", 0), (4, f"y\n{sentence}", "en", "s", 0)]
+    rows += [(5, "short line here\nv", "en", "s", 0), (6, "short line here\nw", "en", "s", 0), (7, "1 2 3 4 5 6 7 8 9\np", "en", "s", 0), (8, "9 8 7 6 5 4 3 2 1\nq", "en", "s", 0)]
+    rows += [(i, "this whole text has a copy and stays so as it is", "en", "s", 0) for i in (9, 10)]
+    out = {r["doc_id"]: r["dropped"] for r in lines.marked(frame(spark, rows)).collect()}
+    assert out == {1: [1], 2: [0], 3: [0], 4: [1], **{i: [] for i in range(5, 11)}}
+
+
 @pytest.mark.parametrize("run", [exact_dedup.exact_dedup, exact_dedup.exact_kept, lambda d: simhash.near_components(simhash.fingerprints(d)), simhash.near_kept, lines.marked, lines.clean])
 def test_empty_tables_and_clashing_columns(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).count() == 0

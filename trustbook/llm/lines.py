@@ -7,11 +7,14 @@ each of which leaves one third of the remaining positions open: lines that diffe
 fields of one third of their positions meet in a template. Templates are named by a hash of the
 node's path, so the tree is an aggregate and any number of tasks builds it.
 
-A template that occurs in at least MIN_DOCS different documents recurs; all lines of recurring
-templates are dropped. Counting sums one row per document and template (after a map-side sum).
+A template that occurs in at least MIN_DOCS different documents recurs, and so does the masked form
+of a line with LONG words or more (tokens that aren't masked) as soon as two different texts have
+it: a passage needs no third document. All lines of recurring templates are dropped. Counting sums
+one row per document and template (after a map-side sum).
 
 Defined cases: null and empty texts have no lines; blank lines are kept and belong to no template;
-copies of a document count as documents (deduplicate documents first); repeated rows and null
+copies of a document count as documents (deduplicate documents first), but not as the two texts of a
+long line, or a document's copy would empty it; repeated rows and null
 ids are documents of their own; other columns are ignored or passed through; an empty table gives none.
 """
 
@@ -36,13 +39,21 @@ VARIABLE = re.compile(r"[0-9@]")
 WILD = "\x00"
 
 
+def masked(line: str) -> list[str]:
+    tokens = line.split()
+    if VARIABLE.search(line) or "://" in line:
+        tokens = [WILD if VARIABLE.search(t) or "://" in t else t for t in tokens]
+    return tokens
+
+
 def templates(line: str) -> list[int]:
     """Hashes of the templates of a line: its masked form first."""
-    tokens = line.split()
+    return hashes(masked(line))
+
+
+def hashes(tokens: list[str]) -> list[int]:
     if not tokens:
         return []
-    if VARIABLE.search(line) or "://" in line:
-        tokens = [WILD if VARIABLE.search(t) or "://" in t else t for t in tokens]
     h = xxhash.xxh64_intdigest
     leaf = f"{len(tokens)}\x01" + " ".join(tokens[:LEAD])
     out = [h(leaf + "\x01" + " ".join(tokens[LEAD:]), 1)]
@@ -56,12 +67,21 @@ def templates(line: str) -> list[int]:
 
 
 def _counted(batches):
-    """Each template once for each document."""
+    """Each template once for each document, with the text's hash and whether it is the masked form of a long line."""
     for b in batches:
         seen: list[int] = []
-        for t in b.column(0).to_pylist():
-            seen.extend({k for line in set(t.split("\n")) for k in templates(line)} if t else ())
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64())], names=["template"])
+        ths: list[int] = []
+        long: list[bool] = []
+        for t, th in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            own: dict[int, bool] = {}
+            for line in set(t.split("\n")) if t else ():
+                tokens = masked(line)
+                for i, k in enumerate(hashes(tokens)):
+                    own[k] = i == 0 and len(tokens) - tokens.count(WILD) >= LONG
+            seen.extend(own)
+            long.extend(own.values())
+            ths.extend([th] * len(own))
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(ths, pa.int64()), pa.array(long, pa.bool_())], names=["template", "th", "long"])
 
 
 def _listed(batches):
@@ -78,8 +98,10 @@ def _listed(batches):
 
 def recurring(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """(template, n_docs) of the templates that occur in enough documents."""
-    keys = docs.select(F.col(f"`{text_col}`").cast("string")).mapInArrow(_counted, "template long")
-    return keys.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
+    text = F.col(f"`{text_col}`").cast("string")
+    keys = docs.select(text.alias("text"), F.xxhash64(text).alias("th")).mapInArrow(_counted, "template long, th long, long boolean")
+    sums = keys.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), F.min("th").alias("first"), F.max("th").alias("last"), F.max("long").alias("long"))
+    return sums.where((F.col("n_docs") >= min_docs) | (F.col("long") & (F.col("first") < F.col("last")))).select("template", "n_docs")
 
 
 def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
