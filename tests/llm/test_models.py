@@ -124,6 +124,15 @@ def test_pii_adds_what_strict_formats_miss(spark):
     assert [out[i].split(",") if out[i] else [] for i in range(len(cases))] == list(cases.values())
 
 
+def test_pii_neighbouring_numbers_are_told_apart(spark):
+    texts = ["call 555-123-4567 555-987-6543 today", "host phone +1 (826) 555-4081 190.137.223.204 now", "card 4111111111111111 1234567812345678 end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    out = {r[0]: r[1] for r in pii.spans(docs).selectExpr("doc_id", pii.joined("spans")).collect()}
+    assert out[0] == "phone:5:17,phone:18:30"
+    assert "phone:11:28" in out[1] and "ip:29:44" in out[1]
+    assert "card:5:21" in out[2]
+
+
 def test_pii_runs_native_and_survives_long_texts(spark):
     docs = spark.createDataFrame([(1, "a" * 300_000), (2, "1" * 300_000), (3, "a." * 100_000), (4, "a@b.co " * 60_000)], "doc_id long, text string")
     df = pii.spans(docs)

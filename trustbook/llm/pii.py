@@ -10,7 +10,9 @@ left out of the fit and gives the thresholds for each kind.
 Base spans (strict formats) always stay. The method adds spans that no strict format covers:
 e-mail addresses with written-out signs, telephone numbers without a country code, card numbers
 in other groupings, addresses with guarded dots. An added span never overlaps a base one; of
-overlapping proposals the best stays.
+overlapping proposals the best stays, and then the best of those that it leaves free. A run of
+digits that is too long for one number or that touches a base span is also proposed in pieces of
+up to PIECES groups, from every group on; the trees score a piece like any other span.
 
 Defined cases: null and empty text have no spans; places count code points; overlapping base
 spans of different kinds all stay; of equal scores the earlier, then longer span stays; repeated
@@ -46,6 +48,10 @@ GENERATORS = (
     ("card", DIGITS, r"[0-9](?:[\x20().\-/_]{0,2}[0-9]){12}"),
     ("phone", DIGITS, r"[0-9](?:[\x20().\-/_]{0,2}[0-9]){6}"),
 )
+#: A piece of a run ends with a group; kinds that come in runs, with the digits of one number.
+SEPARATOR = r"[\x20().\-/_]{1,2}"
+PIECES = 6
+LIMITS = {"card": (13, 19), "phone": (7, 15)}
 #: Words before or after a span that speak for a kind (fixed values).
 CONTEXT = {
     "email": r"(?i)mail|contact|write|schreib|correo|courriel|kontakt|address",
@@ -116,18 +122,32 @@ def _features(kind: str) -> str:
     return "array(" + ", ".join(values[f] for f in FEATURES) + ")"
 
 
-def candidates(df: DataFrame, text: str = "text") -> DataFrame:
+def _pieces(i: int, kind: str) -> str:
+    """SQL: the shorter spans of generator i's runs that don't fit as they are, as (s, e, m, b)."""
+    low, high = LIMITS[kind]
+    digits = "length(regexp_replace({}, '[^0-9]', ''))"
+    odd = f"filter(made_{i}, x -> {digits.format('x.m')} > {high} OR exists(base, b -> b.s < x.e AND x.s < b.e))"
+    starts = "filter(sequence(1, length(x.m)), p -> substring(x.m, p, 1) RLIKE '[0-9(+]' AND (p = 1 OR NOT substring(x.m, p - 1, 1) RLIKE '[0-9(+]'))"
+    ends = [f"regexp_extract(substring(x.m, p, 48), {_quote('^[(+]?[0-9]++(?:' + SEPARATOR + '[0-9]++){' + str(k) + '}')}, 0)" for k in range(PIECES)]
+    part = "named_struct('s', x.s + p - 1, 'e', x.s + p - 1 + length(m), 'm', m, 'b', right(concat(x.b, substring(x.m, greatest(1, p - 40), least(p - 1, 40))), 40))"
+    fits = f"filter(array_distinct(array({', '.join(ends)})), m -> m <> x.m AND {digits.format('m')} BETWEEN {low} AND {high})"
+    return f"flatten(flatten(transform({odd}, x -> transform({starts}, p -> transform({fits}, m -> {part})))))"
+
+
+def candidates(df: DataFrame, text: str = "text", pieces: bool = True) -> DataFrame:
     """Adds base_<kind> (arrays of places) and candidates (array of kind, s, e, f: features)."""
     base = {f"base_{k}": F.expr(located(f"`{text}`", *BASE[k])) for k in KINDS}
     made = {f"made_{i}": F.expr(located(f"`{text}`", p, gate)) for i, (_, p, gate) in enumerate(GENERATORS)}
     df = df.withColumns(base | made)
     valid = {f"base_{k}": F.expr(f"filter(base_{k}, x -> {_valid(k)})") for k in KINDS}
-    each = [f"transform(made_{i}, x -> named_struct('k', {KINDS.index(k)}, 's', x.s, 'e', x.e, 'f', {_features(k)}))" for i, (k, _, _) in enumerate(GENERATORS)]
     df = df.withColumns(valid)
     spans = "concat(" + ", ".join(f"transform(base_{k}, x -> named_struct('s', x.s, 'k', {i}, 'e', x.e))" for i, k in enumerate(KINDS)) + ")"
-    df = df.withColumn("base", F.expr(f"array_sort({spans})")).withColumn("made", F.expr("concat(" + ", ".join(each) + ")"))
-    free = F.expr("filter(made, c -> NOT exists(base, b -> b.s < c.e AND c.s < b.e))")
-    return df.withColumn("candidates", free).drop(*made, "made")
+    df = df.withColumn("base", F.expr(f"array_sort({spans})"))
+    if pieces:
+        df = df.withColumns({f"made_{i}": F.expr(f"CASE WHEN size(made_{i}) > 0 THEN concat(made_{i}, {_pieces(i, k)}) ELSE made_{i} END") for i, (k, _, _) in enumerate(GENERATORS) if k in LIMITS})
+    each = [f"transform(filter(made_{i}, x -> NOT exists(base, b -> b.s < x.e AND x.s < b.e)), x -> named_struct('k', {KINDS.index(k)}, 's', x.s, 'e', x.e, 'f', {_features(k)}))" for i, (k, _, _) in enumerate(GENERATORS)]
+    df = df.withColumn("candidates", F.expr("concat(" + ", ".join(each) + ")"))
+    return df.drop(*made)
 
 
 def example(rng: np.random.Generator) -> tuple[str, int]:
@@ -241,7 +261,7 @@ def model(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = SEED) -> tupl
     """Trees and thresholds; the same for the same parameters, so kept for the process."""
     if (rows, seed) not in _MODELS:
         made = [(i, t, y) for i, (t, y) in enumerate(_examples(rows, seed))]
-        found = candidates(spark.createDataFrame(made, "i int, text string, y int")).select("i", "y", F.explode("candidates").alias("c")).select("i", "y", "c.k", "c.f").collect()
+        found = candidates(spark.createDataFrame(made, "i int, text string, y int"), pieces=False).select("i", "y", F.explode("candidates").alias("c")).select("i", "y", "c.k", "c.f").collect()
         found.sort(key=lambda r: (r["i"], r["k"], r["f"]))
         x = np.array([r["f"] for r in found])
         # a proposal of the wrong kind is no personal data of that kind, unless no other fits
@@ -261,11 +281,14 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(F.col(f"`{text_col}`")).alias("text"))
     df = candidates(rows)
     cut = "CASE c.k " + " ".join(f"WHEN {k} THEN {c:.9f}D" if np.isfinite(c) else f"WHEN {k} THEN double('Infinity')" for k, c in enumerate(cuts)) + " END"
-    scored = F.expr(f"transform(candidates, c -> named_struct('z', {compiled(trees, 'c.f')}, 'n', c.s - c.e, 's', c.s, 'k', c.k, 'e', c.e, 'cut', {cut}))")
-    df = df.withColumn("scored", F.when(F.size("candidates") > 0, scored).otherwise(F.expr("cast(array() AS array<struct<z:double,n:int,s:int,k:int,e:int,cut:double>>)")))
-    df = df.withColumn("passed", F.expr("filter(scored, c -> c.z >= c.cut)"))
-    better = "o.s < c.e AND c.s < o.e AND (o.z > c.z OR (o.z = c.z AND (o.s < c.s OR (o.s = c.s AND (o.n < c.n OR (o.n = c.n AND o.k < c.k))))))"
-    added = F.expr(f"transform(filter(passed, c -> NOT exists(passed, o -> {better})), c -> named_struct('s', c.s, 'k', c.k, 'e', c.e))")
+    # a number in the strict form that a longer base match has swallowed stays, as base spans do, and goes before its own parts
+    strict = f"CASE WHEN c.k = {KINDS.index('phone')} AND c.f[{FEATURES.index('plus')}] = 1 AND c.f[{FEATURES.index('digits')}] BETWEEN 10 AND 15 OR c.k = {KINDS.index('card')} AND c.f[{FEATURES.index('luhn')}] = 1 AND c.f[{FEATURES.index('groups')}] = 1 AND c.f[{FEATURES.index('digits')}] >= 14 THEN 0 ELSE 1 END"
+    scored = F.expr(f"transform(candidates, c -> named_struct('z', {compiled(trees, 'c.f')}, 'w', {strict}, 'n', c.s - c.e, 's', c.s, 'k', c.k, 'e', c.e, 'cut', {cut}))")
+    df = df.withColumn("scored", F.when(F.size("candidates") > 0, scored).otherwise(F.expr("cast(array() AS array<struct<z:double,w:int,n:int,s:int,k:int,e:int,cut:double>>)")))
+    df = df.withColumn("passed", F.expr("filter(scored, c -> c.w = 0 OR c.z >= c.cut)"))
+    order = "array_sort(transform(passed, c -> named_struct('w', c.w, 'z', -c.z, 's', c.s, 'n', c.n, 'k', c.k, 'e', c.e)))"
+    taken = "aggregate({}, cast(array() AS array<struct<s:int,k:int,e:int>>), (t, c) -> CASE WHEN exists(t, o -> o.s < c.e AND c.s < o.e) THEN t ELSE concat(t, array(named_struct('s', c.s, 'k', c.k, 'e', c.e))) END)"
+    added = F.expr(f"CASE WHEN size(passed) > 0 THEN {taken.format(order)} ELSE cast(array() AS array<struct<s:int,k:int,e:int>>) END")
     return df.withColumn("spans", F.array_sort(F.concat("base", added))).select("doc_id", "text", *(f"base_{k}" for k in KINDS), "base", "spans")
 
 
