@@ -140,12 +140,47 @@ def test_components_of_a_long_chain(spark):
     assert out == {**{i: 0 for i in range(1, 61)}, 101: 100}
 
 
+def brute_pairs(fps, linked):
+    label = list(range(len(fps)))
+    for i in range(len(fps)):
+        for j in range(i):
+            if linked(i, j):
+                a, b = label[i], label[j]
+                label = [a if x == b else x for x in label]
+    groups = {}
+    for i, c in enumerate(label):
+        groups.setdefault(c, []).append(i)
+    return sorted(groups.values())
+
+
 def test_near_kept_keeps_one_of_each_group(spark):
     rows = edge_rows()
     docs = frame(spark, rows)
     out = simhash.near_kept(docs).collect()
     assert sorted(r["doc_id"] for r in out if r["doc_id"] is not None) == sorted({c for c in brute_components([r[0] for r in rows], [brute_fingerprint(r[1]) for r in rows]) if c is not None})
-    assert sum(r["doc_id"] is None for r in out) == sum(r[0] is None for r in rows)
+    # of the rows without an id one has a text of its own; the other is empty like rows 1 to 3
+    assert [r["text"] for r in out if r["doc_id"] is None] == ["no id here"]
+
+
+def test_near_kept_tells_texts_of_one_id_apart(spark):
+    a, b = "the first text that shares an id with others", "an altogether different body of words under that id"
+    for rows in ([(3, a), (5, b), (5, a)], [(5, a), (5, b), (3, a)]):
+        out = simhash.near_kept(frame(spark, [(*r, "en", "s", 0) for r in rows])).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in out) == [(3, a), (5, b)]
+
+
+def test_gray_index_confirms_links():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    fps = np.concatenate([base, base, base ^ np.uint64(1), base ^ np.uint64(6)])
+    odd = rng.integers(0, 2, len(fps)).astype(bool)
+    index = simhash.GrayIndex(fps, merged=False)
+    label = index.link(2, lambda a, b: odd[index.order[a]] == odd[index.order[b]])
+    want = brute_pairs(fps, lambda i, j: bin(int(fps[i]) ^ int(fps[j])).count("1") <= 2 and odd[i] == odd[j])
+    got = {}
+    for place, own in zip(index.order.tolist(), label.tolist(), strict=True):
+        got.setdefault(own, set()).add(place)
+    assert sorted(map(sorted, got.values())) == want
 
 
 def test_lines_of_recurring_templates_go(spark):

@@ -91,3 +91,30 @@ def bounded(df: DataFrame, limit: int) -> DataFrame:
     For tables that ``materialize`` wrote: their count reads no column.
     """
     return F.broadcast(df) if df.count() <= limit else df
+
+
+#: Rows of a table of keys (two or three longs) that is broadcast.
+BROADCAST_KEYS = 500_000
+
+
+def one_of_each(docs: DataFrame, id_col: str, node: Column, roots: DataFrame) -> DataFrame:
+    """One row of each class of ``docs``, whole: that with the smallest id (without an id only where no row has one).
+
+    node: a long that rows of equal content share; roots(node, root) names the class of the nodes that aren't their own.
+    Only ids and nodes are shuffled; whole rows are read past the rows that go.
+    """
+    doc = F.col(f"`{id_col}`").cast("long")
+    rows = docs.select(doc.alias("d"), node.alias("t")).groupBy("d", "t").agg(F.count(F.lit(1)).alias("m"))
+    rows = materialize(rows.join(roots, F.col("t") == F.col("node"), "left").select("d", "t", "m", F.coalesce("root", "t").alias("root")), "classes")
+    best = rows.groupBy(F.col("root").alias("r")).agg(F.min(F.struct(F.isnull("d"), "d", "t")).alias("b")).select("r", F.col("b.d").alias("bd"), F.col("b.t").alias("bt"))
+    held = rows.join(best, F.col("root") == F.col("r"))
+    stays = F.col("d").eqNullSafe(F.col("bd")) & (F.col("t") == F.col("bt"))
+    names = {k: fresh(docs, k) for k in ("d", "t")}
+    keys = materialize(held.where(~stays | (F.col("m") > 1)).select(F.col("d").alias(names["d"]), F.col("t").alias(names["t"]), stays.alias("stays")), "class-keys")
+    on = doc.eqNullSafe(F.col(names["d"])) & (node == F.col(names["t"]))
+    out = docs.join(bounded(keys.drop("stays"), BROADCAST_KEYS), on, "left_anti")
+    repeated = keys.where("stays").drop("stays")
+    if not repeated.limit(1).count():
+        return out
+    again = docs.join(bounded(repeated, BROADCAST_KEYS), on).dropDuplicates(list(names.values())).drop(*names.values())
+    return out.unionByName(again)

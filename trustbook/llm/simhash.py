@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, shuffles, table
+from .common import materialize, one_of_each, shuffles, table
 from .components import components
 
 BITS = 64
@@ -88,14 +88,28 @@ def bit_count(x: np.ndarray) -> np.ndarray:
 class GrayIndex:
     """Tree over different fingerprints in Gray order; a node is a run that shares its leading bits."""
 
-    def __init__(self, fps: np.ndarray) -> None:
-        self.fps = fps[np.argsort(gray_rank(fps), kind="stable")]
+    def __init__(self, fps: np.ndarray, merged: bool = True) -> None:
+        """merged: equal fingerprints are one component from the start."""
+        self.order = np.argsort(gray_rank(fps), kind="stable")
+        self.fps = fps[self.order]
         n = len(self.fps)
         self.starts: list[np.ndarray] = [np.array([0], np.int64)]
         for bits in range(LEVEL_BITS, BITS + 1, LEVEL_BITS):
             head = self.fps >> np.uint64(BITS - bits)
             self.starts.append(np.concatenate([[0], np.flatnonzero(head[1:] != head[:-1]) + 1]).astype(np.int64) if n else np.zeros(0, np.int64))
-        self.label = np.arange(n)
+        runs = self.starts[-1]
+        self.label = np.repeat(runs, np.diff(np.append(runs, n))) if merged else np.arange(n)
+
+    def members(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of the members of each pair of leaves that aren't in one component yet."""
+        s = np.append(self.starts[-1], len(self.fps))
+        n = s[b + 1] - s[b]
+        size = (s[a + 1] - s[a]) * n
+        at = np.repeat(np.arange(len(a)), size)
+        nth = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+        x, y = s[a[at]] + nth // n[at], s[b[at]] + nth % n[at]
+        ok = (x < y) & (self.label[x] != self.label[y])
+        return x[ok], y[ok]
 
     def children(self, level: int) -> tuple[np.ndarray, np.ndarray]:
         """First child and number of children, by node of a level."""
@@ -117,8 +131,11 @@ class GrayIndex:
                     break
                 self.label = up
 
-    def link(self, most: int) -> np.ndarray:
-        """Label of each fingerprint's component at ``most`` differing bits, in Gray order."""
+    def link(self, most: int, confirm=None) -> np.ndarray:
+        """Label of each fingerprint's component at ``most`` differing bits, in Gray order.
+
+        confirm(a, b): which pairs of places are linked, where the bits alone don't decide.
+        """
         if len(self.fps) < 2:
             return self.label
         todo = [(0, np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64))]
@@ -134,7 +151,9 @@ class GrayIndex:
             if not len(a):
                 continue
             if level == depth:
-                self.merge(s[a], s[b])
+                x, y = (s[a], s[b]) if confirm is None else self.members(a, b)
+                ok = slice(None) if confirm is None else confirm(x, y)
+                self.merge(x[ok], y[ok])
                 continue
             first, n = kids[level]
             size = n[a] * n[b]
@@ -224,14 +243,13 @@ def near_components(fps: DataFrame, most: int = MAX_DIFF) -> DataFrame:
 
 
 def near_kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, most: int = MAX_DIFF) -> DataFrame:
-    """The documents that stay, with all their columns: of each component the one with the smallest id (one row of it).
-    Rows without an id can't be named and stay."""
-    fps = materialize(fingerprints(docs, id_col, text_col, words), "fps")
-    key = fresh(docs, "id")
-    keep = near_components(fps, most).where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    doc = F.col(f"`{id_col}`").cast("long")
-    stay = docs.join(keep, doc == F.col(key)).dropDuplicates([key]).drop(key)
-    return stay.unionByName(docs.where(doc.isNull()))
+    """The documents that stay, with all their columns: one row of each component, that with the smallest id (a row
+    without an id only where none has one). Texts are the nodes, so rows that share an id stay apart."""
+    text = F.col(f"`{text_col}`").cast("string")
+    th = F.xxhash64(F.coalesce(text, F.lit("")))
+    fps = materialize(fingerprints(docs.select(th.alias("th"), text.alias("text")), "th", "text", words), "fps")
+    roots = near_components(fps, most).select(F.col("doc_id").alias("node"), F.col("component_id").alias("root")).distinct()
+    return one_of_each(docs, id_col, th, roots)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
