@@ -85,12 +85,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def bounded(df: DataFrame, limit: int) -> DataFrame:
-    """``F.broadcast(df)`` if it is counted to have at most ``limit`` rows, else ``df``, which is then shuffled.
+def bounded(df: DataFrame, limit: int, width: Column | None = None, most: int = 0) -> DataFrame:
+    """``F.broadcast(df)`` if it is counted to have at most ``limit`` rows (and ``most`` bytes, where ``width`` gives
+    the bytes of a row), else ``df``, which is then shuffled.
 
     For tables that ``materialize`` wrote: their count reads no column.
     """
-    return F.broadcast(df) if df.count() <= limit else df
+    if width is None:
+        return F.broadcast(df) if df.count() <= limit else df
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if rows <= limit and size <= most else df
 
 
 #: Rows of a table of keys (two or three longs) that is broadcast.
