@@ -15,21 +15,23 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def brute_top(rows, every, k):
-    ok = [(i, np.floor(256 * np.array(v, np.float64))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    ok = [(n, i, np.floor(256 * np.array(v, np.float64))) for n, (i, v) in enumerate(rows) if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, qv in ok:
+    for n, q, qv in ok:
         if q % every == 0:
-            best = sorted(((-int(qv @ v), i) for i, v in ok if i != q))[:k]
+            best = sorted((-int(qv @ v), i) for m, i, v in ok if m != n and len(v) == len(qv))[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("block,query_block", [(64, 8), (4096, 2048)])
+@pytest.mark.parametrize("block,query_block", [(64, 8), (16, 3), (None, 2048)])
 def test_top_k_matches_brute_force(spark, block, query_block):
     rng = np.random.default_rng(1)
     vs = rng.normal(0, 1, (600, 16)) * rng.exponential(1, (600, 1))
     vs[100:300] = vs[100]  # a common vector, so ties
-    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(vs)] + [(700, None), (750, [float("nan")] * 16), (None, [1.0] * 16), (800, [None] + [1.0] * 15), (850, [0.0] * 16)]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(vs)] + [(700, None), (750, [float("nan")] * 16), (None, [1.0] * 16), (800, [None] + [1.0] * 15), (850, [0.0] * 16), (900, [])]
+    rows += [(0, rows[0][1]), (0, rows[7][1]), (50, rows[100][1])]  # repeated ids are rows of their own
+    rows += [(100, [300.0, -300.0]), (101, [1e6, 1.0]), (150, [0.5, 0.5])]  # vectors of another length
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
     got = topk.top_k(df, lambda c: c % 50 == 0, block=block, query_block=query_block)
     assert sorted(map(tuple, got.collect())) == brute_top(rows, 50, 5)
@@ -40,6 +42,7 @@ def test_top_k_edges(spark):
     assert topk.top_k(spark.createDataFrame([], schema), lambda c: c % 50 == 0).count() == 0
     few = spark.createDataFrame([(0, [1.0, 0.0], 1, 1, 1), (1, [0.5, 0.5], 1, 1, 1)], schema)
     assert [tuple(r) for r in topk.top_k(few, lambda c: c % 50 == 0).collect()] == [(0, 1, 1, 256 * 128)]
+    assert topk.top_k(few, lambda c: c < 0).count() == 0
 
 
 def test_pruning_loses_nothing():
@@ -47,12 +50,24 @@ def test_pruning_loses_nothing():
     q, c = np.floor(rng.normal(0, 100, (40, 32))), np.floor(rng.normal(0, 100, (900, 32)) * rng.exponential(1, (900, 1)))
     rot = np.linalg.eigh(c.T @ c)[1][:, ::-1]
     s = q @ c.T
-    at, ids, scores = topk.score_block(q, -np.arange(1, 41), np.full(40, -np.inf), c, np.arange(900), np.ascontiguousarray(rot), 5)
+    search = topk.Search(q, -np.arange(1, 41), np.full(40, -np.inf), np.ascontiguousarray(rot), 5)
+    for part in np.array_split(np.arange(900), 7):
+        search.add(c[part], part, part)
+    at, ids, scores = search.found
     for i in range(40):
         want = sorted(zip(-s[i], range(900), strict=True))[:5]
         assert sorted(zip(-scores[at == i], ids[at == i], strict=True)) == want
 
 
+def test_queries_that_only_long_vectors_can_answer(spark):
+    """Blocks of short vectors are sent to no query here."""
+    rng = np.random.default_rng(4)
+    long, short = rng.normal(0, 10, (64, 8)), rng.normal(0, 0.01, (2000, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([long, short]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(df, lambda c: c < 64, block=64, query_block=16).collect())) == sorted(r for r in brute_top(rows, 1, 5) if r[0] < 64)
+
+
 def unpack(rows, window):
     seqs, docs = {}, {}
     for r in rows:
