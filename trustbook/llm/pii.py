@@ -10,9 +10,11 @@ left out of the fit and gives the thresholds for each kind.
 Base spans (strict formats) always stay. The method adds spans that no strict format covers:
 e-mail addresses with written-out signs, telephone numbers without a country code, card numbers
 in other groupings, addresses with guarded dots. An added span never overlaps a base one; of
-overlapping proposals the best stays, and then the best of those that it leaves free. A run of
-digits that is too long for one number or that touches a base span is also proposed in pieces of
-up to PIECES groups, from every group on; the trees score a piece like any other span.
+overlapping proposals the best stays, and then the best of those that it leaves free (after ROUNDS
+rounds of that, what is still open is settled from left to right, the better of two staying). A run
+of digits that is too long for one number or that touches a base span is also proposed in pieces of
+up to PIECES groups, from every group on; the trees score a piece like any other span. Spans are
+held against each other in runs of NEAR neighbours, so that a text with very many stays linear.
 
 Defined cases: null and empty text have no spans; places count code points; overlapping base
 spans of different kinds all stay; of equal scores the earlier, then longer span stays; repeated
@@ -62,6 +64,10 @@ CONTEXT = {
 FEATURES = ("kind", "digits", "groups", "longest", "plus", "luhn", "marks", "brackets", "length", "dots", "tail", "before", "after", "other", "glued", "words")
 TRAIN_ROWS = 6000
 PLACED = 256
+NEAR = 48
+ROUNDS = 3
+#: Groups before a piece that its context may need.
+BEFORE = 20
 TREES = 40
 DEPTH = 3
 RATE = 0.3
@@ -122,16 +128,39 @@ def _features(kind: str) -> str:
     return "array(" + ", ".join(values[f] for f in FEATURES) + ")"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _runs(spans: str, i: str = "") -> str:
+    """SQL: spans (in order of their starts, or nearly so) in runs of NEAR: (lo, hi, o)."""
+    at = f"CASE WHEN size({spans}) > 0 THEN sequence(0, (size({spans}) - 1) div {NEAR}) ELSE cast(array() AS array<int>) END"
+    return f"transform({at}, i{i} -> " + _let(f"slice({spans}, i{i} * {NEAR} + 1, {NEAR})", f"o{i}", f"named_struct('lo', array_min(transform(o{i}, y -> y.s)), 'hi', array_max(transform(o{i}, y -> y.e)), 'o', o{i})") + ")"
+
+
+def _beside(spans: str, others: str, test: str, out: str) -> str:
+    """SQL: for each span x its ``out``, in which {hit} says whether one of ``others`` (runs) overlaps it and passes ``test`` (of x and b)."""
+    near = f"flatten(transform(filter({others}, q -> q.lo < r.hi AND r.lo < q.hi), q -> q.o))"
+    hit = f"exists(near, b -> b.s < x.e AND x.s < b.e AND {test})"
+    return f"flatten(transform({_runs(spans)}, r -> {_let(near, 'near', f'transform(r.o, x -> {out.format(hit=hit)})')}))"
+
+
+def _touching(spans: str) -> str:
+    return _beside(spans, "base_runs", "true", "named_struct('s', x.s, 'e', x.e, 'm', x.m, 'b', x.b, 't', {hit})")
+
+
 def _pieces(i: int, kind: str) -> str:
     """SQL: the shorter spans of generator i's runs that don't fit as they are, as (s, e, m, b)."""
     low, high = LIMITS[kind]
     digits = "length(regexp_replace({}, '[^0-9]', ''))"
-    odd = f"filter(made_{i}, x -> {digits.format('x.m')} > {high} OR exists(base, b -> b.s < x.e AND x.s < b.e))"
-    starts = "filter(sequence(1, length(x.m)), p -> substring(x.m, p, 1) RLIKE '[0-9(+]' AND (p = 1 OR NOT substring(x.m, p - 1, 1) RLIKE '[0-9(+]'))"
-    ends = [f"regexp_extract(substring(x.m, p, 48), {_quote('^[(+]?[0-9]++(?:' + SEPARATOR + '[0-9]++){' + str(k) + '}')}, 0)" for k in range(PIECES)]
-    part = "named_struct('s', x.s + p - 1, 'e', x.s + p - 1 + length(m), 'm', m, 'b', right(concat(x.b, substring(x.m, greatest(1, p - 40), least(p - 1, 40))), 40))"
-    fits = f"filter(array_distinct(array({', '.join(ends)})), m -> m <> x.m AND {digits.format('m')} BETWEEN {low} AND {high})"
-    return f"flatten(flatten(transform({odd}, x -> transform({starts}, p -> transform({fits}, m -> {part})))))"
+    odd = f"filter(made_{i}, x -> x.t OR {digits.format('x.m')} > {high})"
+    # a group is a number with what stands before it; a piece begins at one whose number may open with a sign
+    groups = located("x.m", r"[(+]?[0-9]++", "[0-9]")
+    part = "concat_ws('', transform(slice(g, p + 1, k + 1), (y, n) -> concat(CASE WHEN n > 0 THEN y.b ELSE '' END, y.m)))"
+    before = f"right(concat(x.b, concat_ws('', transform(slice(g, greatest(1, p + 1 - {BEFORE}), least(p, {BEFORE})), y -> concat(y.b, y.m))), g[p].b), 40)"
+    made = _let(part, "m", "named_struct('s', x.s + g[p].s, 'e', x.s + g[p + k].e, 'm', m, 'b', h)")
+    fits = f"filter(transform(sequence(0, least({PIECES - 1}, size(g) - 1 - p)), k -> {made}), y -> y.m <> x.m AND {digits.format('y.m')} BETWEEN {low} AND {high} AND y.m RLIKE {_quote('^[(+]?[0-9]++(?:' + SEPARATOR + '[0-9]++)*$')})"
+    return f"flatten(flatten(transform({odd}, x -> {_let(groups, 'g', f'transform(sequence(0, size(g) - 1), p -> {_let(before, "h", fits)})')})))"
 
 
 def candidates(df: DataFrame, text: str = "text", pieces: bool = True) -> DataFrame:
@@ -142,12 +171,15 @@ def candidates(df: DataFrame, text: str = "text", pieces: bool = True) -> DataFr
     valid = {f"base_{k}": F.expr(f"filter(base_{k}, x -> {_valid(k)})") for k in KINDS}
     df = df.withColumns(valid)
     spans = "concat(" + ", ".join(f"transform(base_{k}, x -> named_struct('s', x.s, 'k', {i}, 'e', x.e))" for i, k in enumerate(KINDS)) + ")"
-    df = df.withColumn("base", F.expr(f"array_sort({spans})"))
+    df = df.withColumn("base", F.expr(f"array_sort({spans})")).withColumn("base_runs", F.expr(_runs("base")))
+    none = "cast(array() AS array<struct<s:int,e:int,m:string,b:string,t:boolean>>)"
+    df = df.withColumns({f"made_{i}": F.expr(f"CASE WHEN size(made_{i}) > 0 THEN {_touching(f'made_{i}')} ELSE {none} END") for i in range(len(GENERATORS))})
     if pieces:
-        df = df.withColumns({f"made_{i}": F.expr(f"CASE WHEN size(made_{i}) > 0 THEN concat(made_{i}, {_pieces(i, k)}) ELSE made_{i} END") for i, (k, _, _) in enumerate(GENERATORS) if k in LIMITS})
-    each = [f"transform(filter(made_{i}, x -> NOT exists(base, b -> b.s < x.e AND x.s < b.e)), x -> named_struct('k', {KINDS.index(k)}, 's', x.s, 'e', x.e, 'f', {_features(k)}))" for i, (k, _, _) in enumerate(GENERATORS)]
+        df = df.withColumns({f"part_{i}": F.expr(f"CASE WHEN size(made_{i}) > 0 THEN {_pieces(i, k)} ELSE cast(array() AS array<struct<s:int,e:int,m:string,b:string>>) END") for i, (k, _, _) in enumerate(GENERATORS) if k in LIMITS})
+        df = df.withColumns({f"made_{i}": F.expr(f"CASE WHEN size(part_{i}) > 0 THEN concat(made_{i}, {_touching(f'part_{i}')}) ELSE made_{i} END") for i, (k, _, _) in enumerate(GENERATORS) if k in LIMITS})
+    each = [f"transform(filter(made_{i}, x -> NOT x.t), x -> named_struct('k', {KINDS.index(k)}, 's', x.s, 'e', x.e, 'f', {_features(k)}))" for i, (k, _, _) in enumerate(GENERATORS)]
     df = df.withColumn("candidates", F.expr("concat(" + ", ".join(each) + ")"))
-    return df.drop(*made)
+    return df.drop(*made, "base_runs", *(f"part_{i}" for i in range(len(GENERATORS))))
 
 
 def example(rng: np.random.Generator) -> tuple[str, int]:
@@ -275,6 +307,19 @@ def model(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = SEED) -> tupl
     return _MODELS[rows, seed]
 
 
+SPAN = "array<struct<s:int,k:int,e:int>>"
+ONE = "struct<s:int,e:int,k:int,o:struct<w:int,z:double,s:int,n:int,k:int>>"
+PASSED = f"array<{ONE}>"
+_MARKED = "named_struct('s', x.s, 'e', x.e, 'k', x.k, 'o', x.o, 't', {hit})"
+#: What is left of ``passed``, from left to right: the last span so far meets the next one.
+_STEP = f"""CASE WHEN c.l IS NULL THEN named_struct('l', x, 'o', c.o) WHEN x.s < c.l.e THEN named_struct('l', CASE WHEN x.o < c.l.o THEN x ELSE c.l END, 'o', c.o)
+    ELSE named_struct('l', x, 'o', concat(c.o, array(c.l))) END"""
+_SWEEP = f"""aggregate({_runs('passed')}, named_struct('l', cast(null AS {ONE}), 'o', cast(array() AS array<{PASSED}>)), (d, r) ->
+    {_let(f"aggregate(r.o, named_struct('l', d.l, 'o', cast(array() AS {PASSED})), (c, x) -> {_STEP})", 'k', "named_struct('l', k.l, 'o', concat(d.o, array(k.o)))")},
+    d -> CASE WHEN d.l IS NULL THEN flatten(d.o) ELSE concat(flatten(d.o), array(d.l)) END)"""
+_SWEPT = f"CASE WHEN size(passed) > 0 THEN transform({_SWEEP}, x -> named_struct('s', x.s, 'k', x.k, 'e', x.e)) ELSE cast(array() AS {SPAN}) END"
+
+
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, base, spans): arrays of (s, k, e), kind k as in KINDS; spans holds base ones and added ones."""
     trees, cuts = model(docs.sparkSession)
@@ -286,10 +331,18 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     scored = F.expr(f"transform(candidates, c -> named_struct('z', {compiled(trees, 'c.f')}, 'w', {strict}, 'n', c.s - c.e, 's', c.s, 'k', c.k, 'e', c.e, 'cut', {cut}))")
     df = df.withColumn("scored", F.when(F.size("candidates") > 0, scored).otherwise(F.expr("cast(array() AS array<struct<z:double,w:int,n:int,s:int,k:int,e:int,cut:double>>)")))
     df = df.withColumn("passed", F.expr("filter(scored, c -> c.w = 0 OR c.z >= c.cut)"))
-    order = "array_sort(transform(passed, c -> named_struct('w', c.w, 'z', -c.z, 's', c.s, 'n', c.n, 'k', c.k, 'e', c.e)))"
-    taken = "aggregate({}, cast(array() AS array<struct<s:int,k:int,e:int>>), (t, c) -> CASE WHEN exists(t, o -> o.s < c.e AND c.s < o.e) THEN t ELSE concat(t, array(named_struct('s', c.s, 'k', c.k, 'e', c.e))) END)"
-    added = F.expr(f"CASE WHEN size(passed) > 0 THEN {taken.format(order)} ELSE cast(array() AS array<struct<s:int,k:int,e:int>>) END")
-    return df.withColumn("spans", F.array_sort(F.concat("base", added))).select("doc_id", "text", *(f"base_{k}" for k in KINDS), "base", "spans")
+    some = "CASE WHEN size(passed) > 0 THEN {} ELSE cast(array() AS " + SPAN + ") END"
+    df = df.withColumn("passed", F.expr(some.format("array_sort(transform(passed, c -> named_struct('s', c.s, 'e', c.e, 'k', c.k, 'o', named_struct('w', c.w, 'z', -c.z, 's', c.s, 'n', c.n, 'k', c.k))))").replace(SPAN, PASSED)))
+    taken = []
+    for i in range(ROUNDS):
+        # the best among all that overlap them stay, what overlaps those goes, and the rest is looked at again
+        df = df.withColumn("open_runs", F.expr(_runs("passed")))
+        df = df.withColumn("best", F.expr(f"filter({_beside('passed', 'open_runs', 'b.o < x.o', _MARKED)}, x -> NOT x.t)")).withColumn("best_runs", F.expr(_runs("best")))
+        df = df.withColumn(f"taken_{i}", F.expr(some.format("transform(best, x -> named_struct('s', x.s, 'k', x.k, 'e', x.e))")))
+        df = df.withColumn("passed", F.expr(f"transform(filter({_beside('passed', 'best_runs', 'true', _MARKED)}, x -> NOT x.t), x -> named_struct('s', x.s, 'e', x.e, 'k', x.k, 'o', x.o))"))
+        taken.append(f"taken_{i}")
+    df = df.withColumn("swept", F.expr(_SWEPT))
+    return df.withColumn("spans", F.expr(f"array_sort(concat(base, {', '.join(taken)}, swept))")).select("doc_id", "text", *(f"base_{k}" for k in KINDS), "base", "spans")
 
 
 def joined(col: str) -> str:
