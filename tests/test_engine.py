@@ -194,6 +194,47 @@ def test_native_book_refuses_deltas_without_trust(spark):
     assert (int(top["bid"]), int(top["ask"]), top["live"], top["age_ns"]) == (999, 1002, False, 3 * MS)
 
 
+def test_touch_timeline_of_one_long_epoch(spark):
+    """200,000 messages between two snapshots: against a sweep with a sorted book, and in seconds."""
+    import random
+    import time
+    from bisect import bisect_left, insort
+
+    random.seed(3)
+    rows = [("snapshot", None, 5, 1)] + [("delta", random.choice(("bid", "ask")), random.randrange(400), random.randrange(3)) for _ in range(200_000)]
+    cols = "event_id int, user_id int, at_ns long, venue string, venue_rank int, integrity int, symbol string, kind string, side string, tv long, qty long"
+    df = spark.createDataFrame([(i, 0, i * MS, "v0", 0, 1, "S0", *r) for i, r in enumerate(rows)], cols)
+    began = time.monotonic()
+    m = trust.with_epochs(df, 10_000 * MS)
+    got = {r["at_ns"]: (r["bid"], r["ask"]) for r in book.touch_timeline(m, book.applied_levels(m)).where("seq % 97 = 0 OR seq > 199900").select("at_ns", F.col("bid").cast("long").alias("bid"), F.col("ask").cast("long").alias("ask")).collect()}
+    assert time.monotonic() - began < 60
+    held, want = {"bid": [], "ask": []}, {}
+    for i, (kind, side, tv, qty) in enumerate(rows):
+        for s in ("bid", "ask") if kind == "snapshot" else (side,):
+            p = 999 - tv if s == "bid" else 1001 + tv
+            at = bisect_left(held[s], p)
+            there = at < len(held[s]) and held[s][at] == p
+            if qty and not there:
+                insort(held[s], p)
+            elif not qty and there:
+                held[s].pop(at)
+        if i % 97 == 0 or i > 199_900:
+            want[i * MS] = (held["bid"][-1] if held["bid"] else None, held["ask"][0] if held["ask"] else None)
+    assert got == want
+
+
+def test_neighbours_cross_slices(spark):
+    df = spark.createDataFrame([("v", "s", 0, t, t * t % 7) for t in (1, 5, 9, 10, 11, 30, 31)], "venue string, symbol string, session_id long, at_ns long, x long")
+    for width in (1, 10, 1000):
+        before = [r["b"] for r in trust.neighbour(df, "x", "at_ns", "b", slice_ns=width).orderBy("at_ns").collect()]
+        after = [r["b"] for r in trust.neighbour(df, "x", "at_ns", "b", after=True, slice_ns=width).orderBy("at_ns").collect()]
+        most = [r["b"] for r in trust.running(df, F.col("x"), "at_ns", "b", F.max, own=False, slice_ns=width).orderBy("at_ns").collect()]
+        total = [r["b"] for r in trust.running(df, F.col("x"), "at_ns", "b", F.sum, slice_ns=width).orderBy("at_ns").collect()]
+        x = [t * t % 7 for t in (1, 5, 9, 10, 11, 30, 31)]
+        assert before == [None, *x[:-1]] and after == [*x[1:], None]
+        assert most == [None, *(max(x[:i]) for i in range(1, 7))] and total == [sum(x[: i + 1]) for i in range(7)]
+
+
 def test_touch_timeline_follows_the_state_operator(spark):
     import random
 

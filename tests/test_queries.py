@@ -3,8 +3,10 @@
 import duckdb
 import pytest
 
-from trustbook.plans.oracles import ORACLES
-from trustbook.plans.queries import QUERIES
+from trustbook.plans import oracles, queries, wire_queries
+
+QUERIES = queries.QUERIES | wire_queries.QUERIES
+ORACLES = oracles.ORACLES | wire_queries.ORACLES
 
 SF = "/root/testdata/sf0.001"
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .book import best_first
-from .trust import STREAM
+from .trust import STREAM, running
 
 GUARD_BPS = 10
 MAX_LEVELS = 500
@@ -62,7 +62,7 @@ def trail(audits: DataFrame, consecutive: int = 2, key: tuple[str, ...] = STREAM
 
     audits: key, at_ns, outcome, prices (array). A streak keeps the prices that disagree every time; a match clears
     it, an inconclusive audit leaves it, an empty intersection starts anew at one. The first mismatch never desyncs.
-    Long histories are bounded by one audit a minute for a stream.
+    Runs between matches are folded by themselves and put together, so that no row holds a stream's whole history.
     """
     start = F.struct(F.lit(0).cast("long").alias("audits"), F.lit(0).cast("long").alias("mismatches"), F.lit(0).alias("streak"), F.expr("cast(array() AS array<decimal(18,8)>)").alias("suspects"), F.lit(None).cast("decimal(18,8)").alias("desync_price"), F.lit(None).cast("long").alias("desync_at"))
 
@@ -76,4 +76,7 @@ def trail(audits: DataFrame, consecutive: int = 2, key: tuple[str, ...] = STREAM
         return F.struct((s["audits"] + 1).alias("audits"), (s["mismatches"] + mismatch.cast("long")).alias("mismatches"), streak.alias("streak"), suspects.alias("suspects"), F.when(hit, F.array_min(left)).otherwise(s["desync_price"]).alias("desync_price"), F.when(hit, a["at_ns"]).otherwise(s["desync_at"]).alias("desync_at"))
 
     history = F.array_sort(F.collect_list(F.struct("at_ns", "outcome", F.col("prices").cast("array<decimal(18,8)>").alias("prices"))))
-    return audits.groupBy(*key).agg(history.alias("h")).withColumn("s", F.aggregate("h", start, step)).select(*key, "s.*")
+    runs = running(audits, (F.col("outcome") == "match").cast("long"), "at_ns", "run", F.sum, key).groupBy(*key, "run").agg(history.alias("h"))
+    runs = runs.withColumn("s", F.aggregate("h", start, step)).select(*key, "run", "s.*")
+    first = F.when(F.col("desync_at").isNotNull(), F.col("run"))
+    return runs.groupBy(*key).agg(F.sum("audits").alias("audits"), F.sum("mismatches").alias("mismatches"), F.max_by("streak", "run").alias("streak"), F.max_by("suspects", "run").alias("suspects"), F.min_by("desync_price", first).alias("desync_price"), F.min_by("desync_at", first).alias("desync_at"))

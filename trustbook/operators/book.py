@@ -24,7 +24,7 @@ def applied_levels(messages: DataFrame) -> DataFrame:
     sides = F.when(F.col("kind") == "snapshot", F.array(F.lit("bid"), F.lit("ask"))).otherwise(F.array("side"))
     rows = m.withColumn("one", F.explode(sides))
     price = F.when(F.col("one") == "bid", 999 - F.col("tv")).otherwise(1001 + F.col("tv")).cast("decimal(18,8)")
-    return rows.select(*KEY, "at_ns", F.col("one").alias("side"), price.alias("price"), F.col("qty").cast("decimal(18,8)").alias("qty"))
+    return rows.select(*KEY, *(c for c in ("seq",) if c in m.columns), "at_ns", F.col("one").alias("side"), price.alias("price"), F.col("qty").cast("decimal(18,8)").alias("qty"))
 
 
 def current_epoch(messages: DataFrame, as_of: Column | None = None) -> DataFrame:
@@ -81,17 +81,31 @@ def crossed(top: DataFrame) -> DataFrame:
     return top.where(F.col("bid") >= F.col("ask"))
 
 
+#: Levels of the tree over a stream's messages: a node of the top level stands for 2 ** TOP messages.
+TOP = 12
+#: Nodes (number * 16 + level) whose messages make up the places from a up to b, each message once.
+_NODES = f"""flatten(transform(sequence(0, {TOP}), k -> CASE WHEN shiftright(a + shiftleft(1L, k) - 1, k) >= shiftright(b, k) THEN cast(array() AS array<bigint>)
+    WHEN k = {TOP} THEN transform(sequence(shiftright(a + shiftleft(1L, k) - 1, k), shiftright(b, k) - 1), x -> x * 16 + k)
+    ELSE filter(array(CASE WHEN shiftright(a + shiftleft(1L, k) - 1, k) % 2 = 1 THEN shiftright(a + shiftleft(1L, k) - 1, k) * 16 + k ELSE -1L END,
+        CASE WHEN shiftright(b, k) % 2 = 1 THEN (shiftright(b, k) - 1) * 16 + k ELSE -1L END), x -> x >= 0) END))"""
+
+
 def touch_timeline(messages: DataFrame, levels: DataFrame) -> DataFrame:
     """Best bid and ask after every message of a live stream: a level holds from its message to the next one on its price.
 
-    The join is by (stream, epoch): inside an epoch each message meets the levels that hold at it.
+    The places at which a level holds are an interval of its epoch. It is written to the few nodes of a binary tree over
+    the stream's messages that make it up, a node keeps its best prices, and a message reads the nodes above it: n log n
+    rows whatever an epoch's length, and no key with more than 2 ** TOP messages.
     """
-    w = Window.partitionBy(*KEY, "side", "price").orderBy("at_ns")
-    held = levels.withColumn("until_ns", F.lead("at_ns").over(w)).where("qty > 0")
-    live = messages.where("live").select(*KEY, F.col("at_ns").alias("m_ns"), "kind", "integrity")
-    both = live.join(held, list(KEY), "left").where("at_ns IS NULL OR (at_ns <= m_ns AND (until_ns IS NULL OR until_ns > m_ns))")
-    best = both.groupBy(*KEY, "m_ns").agg(F.max(F.when(F.col("side") == "bid", F.col("price"))).alias("bid"), F.min(F.when(F.col("side") == "ask", F.col("price"))).alias("ask"))
-    out = live.join(best, [*KEY, "m_ns"], "left").withColumnRenamed("m_ns", "at_ns")
+    w = Window.partitionBy(*KEY, "side", "price").orderBy("seq")
+    ends = messages.groupBy(*KEY).agg(F.min("seq").alias("start"), (F.max("seq") + 1).alias("stop"))
+    held = levels.select(*KEY, "side", "price", "qty", F.col("seq").alias("a"), F.lead("seq").over(w).alias("next")).where("qty > 0")
+    held = held.join(ends, list(KEY)).withColumn("b", F.coalesce("next", "stop"))
+    nodes = held.select(*STREAM, F.when(F.col("side") == "bid", F.col("price")).alias("bid"), F.when(F.col("side") == "ask", F.col("price")).alias("ask"), F.explode(F.expr(_NODES)).alias("node"))
+    nodes = nodes.groupBy(*STREAM, "node").agg(F.max("bid").alias("bid"), F.min("ask").alias("ask"))
+    live = messages.where("live").select(*KEY, "seq", "at_ns", "kind", "integrity").join(ends, list(KEY))
+    up = live.withColumn("node", F.explode(F.expr(f"transform(sequence(0, least({TOP}, cast(floor(log2(stop - start)) AS int))), k -> shiftright(seq, k) * 16 + k)")))
+    out = up.join(nodes, [*STREAM, "node"], "left").groupBy(*KEY, "seq", "at_ns", "kind", "integrity").agg(F.max("bid").alias("bid"), F.min("ask").alias("ask"))
     return out.withColumn("mid", ((F.col("bid") + F.col("ask")) / 2).cast("decimal(18,8)")).withColumn("spread", (F.col("ask") - F.col("bid")).cast("decimal(18,8)"))
 
 

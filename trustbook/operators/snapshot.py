@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .trust import STREAM
+from .trust import STREAM, neighbour
 
 CLOCKS = ("ingest_monotonic", "node_monotonic+gateway_monotonic")
 
@@ -47,9 +47,10 @@ def rollup(messages: DataFrame) -> DataFrame:
 
 def rates(series: DataFrame, columns: tuple[str, ...], tick_s: float, order: str = "tick", key: tuple[str, ...] = STREAM) -> DataFrame:
     """Per-second rates of monotone counters between ticks; a counter that fell counts as none, as does a tick of no length."""
-    w = Window.partitionBy(*key).orderBy(order)
-    rate = {f"{c}_per_s": (F.greatest(F.col(c) - F.lag(c).over(w), F.lit(0)) / tick_s if tick_s > 0 else F.lit(0.0)) for c in columns}
-    return series.withColumns({k: F.coalesce(v, F.lit(0.0)).cast("double") for k, v in rate.items()})
+    # ticks are few in a stream, so a slice is many of them
+    out = neighbour(series.withColumn("now", F.struct(*columns)), "now", order, "was", key, slice_ns=4096)
+    rate = {f"{c}_per_s": (F.greatest(F.col(c) - F.col(f"was.{c}"), F.lit(0)) / tick_s if tick_s > 0 else F.lit(0.0)) for c in columns}
+    return out.withColumns({k: F.coalesce(v, F.lit(0.0)).cast("double") for k, v in rate.items()}).drop("now", "was")
 
 
 def reconnects(connects: str = "connects") -> Column:
