@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trustbook.functions import hashing, names, numbers
 from trustbook.operators import audit, book, cross, gateway, snapshot, trust, windows
 from trustbook.schemas import EVENTS, TAPE
-from trustbook.sources import archive, scripted, tape, venues
+from trustbook.sources import archive, driver, scripted, tape, venues
 from trustbook.streaming import replay
 from trustbook.streaming.state import Stream, digits
 
@@ -185,8 +185,12 @@ def driver_like(spark, rows):
     return spark.createDataFrame([(i, 0, at * MS, "v0", 0, 1, "S0", kind, side, tv, qty) for i, (at, kind, side, tv, qty) in enumerate(rows)], cols)
 
 
+def priced(rows, width):
+    return driver.priced(trust.with_epochs(rows, width))
+
+
 def test_native_book_refuses_deltas_without_trust(spark):
-    m = trust.with_epochs(driver_like(spark, [(1, "delta", "bid", 5, 9), (2, "snapshot", None, 1, 4), (3, "delta", "bid", 0, 7), (4, "session_ended", None, 0, 0), (5, "delta", "ask", 0, 7)]), 2 * MS)
+    m = priced(driver_like(spark, [(1, "delta", "bid", 5, 9), (2, "snapshot", None, 1, 4), (3, "delta", "bid", 0, 7), (4, "session_ended", None, 0, 0), (5, "delta", "ask", 0, 7)]), 2 * MS)
     state = book.current_epoch(m)
     held = book.book_asof(book.applied_levels(m), state)
     assert {(r["side"], int(r["price"]), int(r["qty"])) for r in held.collect()} == {("bid", 998, 4), ("bid", 999, 7), ("ask", 1002, 4)}
@@ -205,7 +209,7 @@ def test_touch_timeline_of_one_long_epoch(spark):
     cols = "event_id int, user_id int, at_ns long, venue string, venue_rank int, integrity int, symbol string, kind string, side string, tv long, qty long"
     df = spark.createDataFrame([(i, 0, i * MS, "v0", 0, 1, "S0", *r) for i, r in enumerate(rows)], cols)
     began = time.monotonic()
-    m = trust.with_epochs(df, 10_000 * MS)
+    m = priced(df, 10_000 * MS)
     got = {r["at_ns"]: (r["bid"], r["ask"]) for r in book.touch_timeline(m, book.applied_levels(m)).where("seq % 97 = 0 OR seq > 199900").select("at_ns", F.col("bid").cast("long").alias("bid"), F.col("ask").cast("long").alias("ask")).collect()}
     assert time.monotonic() - began < 60
     held, want = {"bid": [], "ask": []}, {}
@@ -240,9 +244,9 @@ def test_touch_timeline_follows_the_state_operator(spark):
 
     random.seed(8)
     rows = [(i + 1, *random.choice([("snapshot", None), ("delta", "bid"), ("delta", "ask"), ("trade", None), ("session_ended", None)]), random.randrange(8), random.randrange(4)) for i in range(300)]
-    m = trust.with_epochs(driver_like(spark, rows), 50 * MS)
+    m = priced(driver_like(spark, rows), 50 * MS)
     got = {r["at_ns"]: (r["bid"], r["ask"]) for r in book.touch_timeline(m, book.applied_levels(m)).collect()}
-    s, want = Stream("v0", "S0"), {}
+    s, want = Stream("v0", "S0", scripted=True), {}
     for at, kind, side, tv, qty in rows:
         if kind == "session_ended":
             r = s.step(at, at * MS, None, kind, None, None)
@@ -396,7 +400,7 @@ def test_archive_round_trip(spark, tmp_path):
     e = sample_events(spark)
     archive.write(e, str(tmp_path / "x"), splits=2)
     back = archive.read(spark, [str(tmp_path / "x"), str(tmp_path / "x") + "/"])
-    assert back.drop("file").exceptAll(e).count() == 0 and back.count() == e.count()
+    assert back.drop("file", "run").exceptAll(e).count() == 0 and back.count() == e.count()
     again = archive.flatten(archive.assemble(back)).select(*(f.name for f in EVENTS.fields))
     assert again.exceptAll(e).count() == 0 and again.count() == e.count()
     one_symbol = archive.read(spark, [str(tmp_path / "x")], symbols=["BTC_USD"])
@@ -407,6 +411,50 @@ def test_archive_round_trip(spark, tmp_path):
     assert archive.quarantine(bad).count() == 1
 
 
+def test_archive_events_survive_files_that_roll(spark, tmp_path):
+    e = sample_events(spark)
+    archive.write(e, str(tmp_path / "x"), max_records=2)
+    back = archive.read(spark, [str(tmp_path / "x")])
+    assert back.select("file").distinct().count() > back.count() // 3
+    assert archive.assemble(back).count() == e.select("event_seq").distinct().count()
+    assert archive.flatten(archive.assemble(back)).select(*(f.name for f in EVENTS.fields)).exceptAll(e).count() == 0
+
+
+def test_archive_refuses_what_it_does_not_know(spark, tmp_path):
+    e = sample_events(spark)
+    archive.write(e, str(tmp_path / "x"))
+    back = archive.read(spark, [str(tmp_path / "x")])
+    venue = back.first()["venue"]
+    assert archive.assemble(back, (venue,), strict=True).count() == archive.assemble(back).count()
+    assert archive.assemble(back, ("elsewhere",)).count() == 0 and archive.quarantine(back, ("elsewhere",)).count() == back.count()
+    with pytest.raises(Exception, match="unknown venue"):
+        archive.assemble(back, ("elsewhere",), strict=True).collect()
+    with pytest.raises(ValueError, match="unknown venue"):
+        venues.adapter("elsewhere", "A-B")
+
+
+def test_archive_reads_either_layout_by_path(spark, tmp_path):
+    e = sample_events(spark)
+    archive.write(e, str(tmp_path / "x"))
+    (tmp_path / "x" / "symbol_key=BTC_USD").rename(tmp_path / "x" / "symbol=BTC_USD")
+    assert archive.read(spark, [str(tmp_path / "x")], symbols=["BTC_USD"]).count() == e.where("symbol = 'BTC/USD'").count()
+
+
+def test_runs_merge_on_the_wall_clock(spark, tmp_path):
+    """Two runs with offsets of their own; the second one's clock steps back once."""
+    e = sample_events(spark).where("event_seq < 8")
+    later = e.withColumns({"ingest_wall_unix_nanos": F.col("ingest_wall_unix_nanos") + 10**15 - F.when(F.col("event_seq") == 5, 10**14).otherwise(0)})
+    archive.write(e, str(tmp_path / "a"))
+    archive.write(later, str(tmp_path / "b"))
+    merged = archive.timeline(archive.read(spark, [str(tmp_path / "a"), str(tmp_path / "b")]), 2)
+    rows = merged.select("run", "event_seq", "at_ns").distinct().orderBy("at_ns", "event_seq").collect()
+    assert len({r["run"] for r in rows[:8]}) == 1 and len({r["run"] for r in rows[8:]}) == 1
+    second = sorted((r["event_seq"], r["at_ns"]) for r in rows[8:])
+    assert second[5][1] == second[4][1] and all(a[1] <= b[1] for a, b in zip(second, second[1:], strict=False))
+    m = replay.from_events(None, merged, at="at_ns")
+    assert m.count() == 16 and m.agg(F.max("elapsed_ns")).first()[0] == rows[-1]["at_ns"]
+
+
 def frames(spark):
     m = [coinbase(0, "snapshot", [("bid", "100", "1"), ("ask", "101", "2")]), coinbase(1, updates=[("bid", "99", "3")]), coinbase(3, updates=[("bid", "98", "1")]), None, coinbase(0, "snapshot", [("bid", "100", "1")])]
     rows = [("coinbase", "BTC-USD", i * MS, i, p or "", "web_socket", "frame" if p else "session_ended") for i, p in enumerate(m)]

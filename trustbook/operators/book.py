@@ -16,15 +16,12 @@ KEY = (*STREAM, "epoch")
 
 
 def applied_levels(messages: DataFrame) -> DataFrame:
-    """Level rows of the messages that apply: a snapshot's two levels, a delta's one if the book is live.
+    """Level rows of the messages that apply: a snapshot's, and a delta's if the book is live.
 
-    messages: what ``with_epochs`` gives, with side, tv and qty. Prices lie on an integer grid around 1000.
+    messages: what ``with_epochs`` gives, with levels: array of (side, price, qty).
     """
     m = messages.where((F.col("kind") == "snapshot") | ((F.col("kind") == "delta") & F.col("live")))
-    sides = F.when(F.col("kind") == "snapshot", F.array(F.lit("bid"), F.lit("ask"))).otherwise(F.array("side"))
-    rows = m.withColumn("one", F.explode(sides))
-    price = F.when(F.col("one") == "bid", 999 - F.col("tv")).otherwise(1001 + F.col("tv")).cast("decimal(18,8)")
-    return rows.select(*KEY, *(c for c in ("seq",) if c in m.columns), "at_ns", F.col("one").alias("side"), price.alias("price"), F.col("qty").cast("decimal(18,8)").alias("qty"))
+    return m.select(*KEY, *(c for c in ("seq",) if c in m.columns), "at_ns", F.inline("levels"))
 
 
 def current_epoch(messages: DataFrame, as_of: Column | None = None) -> DataFrame:
@@ -110,6 +107,6 @@ def touch_timeline(messages: DataFrame, levels: DataFrame) -> DataFrame:
 
 
 def last_trade(messages: DataFrame, as_of: Column) -> DataFrame:
-    """The latest print of each stream and its age."""
-    t = messages.where(F.col("kind") == "trade").groupBy(*STREAM).agg(F.max_by(F.struct((1000 + F.col("tv")).alias("price"), "qty", "at_ns"), "at_ns").alias("t"))
+    """The latest print (price, qty) of each stream and its age."""
+    t = messages.where(F.col("kind") == "trade").groupBy(*STREAM).agg(F.max_by(F.struct("price", "qty", "at_ns"), "at_ns").alias("t"))
     return t.select(*STREAM, F.col("t.price").alias("price"), F.col("t.qty").alias("qty"), (as_of - F.col("t.at_ns")).alias("age_ns"))

@@ -30,7 +30,7 @@ class Market:
         self.first_ns, self.last_ns = e["a"] or 0, e["b"] or 0
         self.origin, self.now = F.lit(self.first_ns), F.lit(self.last_ns)
         self.end = (self.last_ns - self.first_ns) // RES_NS
-        self.messages = trust.with_epochs(self.raw)
+        self.messages = driver.priced(trust.with_epochs(self.raw))
         self.levels = book.applied_levels(self.messages)
 
     def state(self, as_of=None) -> DataFrame:
@@ -235,7 +235,7 @@ def q_tick_snapshot(spark, sf_dir):
 
 def q_last_trade(spark, sf_dir):
     m = Market(spark, sf_dir)
-    return book.last_trade(m.raw, m.now)
+    return book.last_trade(driver.priced(m.raw), m.now)
 
 
 def q_archive_roundtrip(spark, sf_dir):
@@ -245,8 +245,7 @@ def q_archive_roundtrip(spark, sf_dir):
     from ..sources import archive
 
     m = Market(spark, sf_dir)
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/trustbook"
-    path = f"{base.rstrip('/')}/trustbook/archive-{uuid.uuid4().hex}"
+    path = f"{archive.shared_dir(spark)}/trustbook/archive-{uuid.uuid4().hex}"
     archive.write(driver_events(m), path)
     e = archive.assemble(archive.read(spark, [path]))
     return e.groupBy("venue", "symbol", "kind").agg(F.count(F.lit(1)).alias("events"), F.sum(F.size("bids")).alias("bids"), F.sum(F.size("asks")).alias("asks"), F.sum("event_seq").alias("seq_sum"))
@@ -334,7 +333,7 @@ def q_state_replay(spark, sf_dir):
     from ..streaming import replay
 
     m = Market(spark, sf_dir)
-    out = replay.replay(replay.from_events(m.raw.where("kind = 'session_ended'"), driver_events(m)))
+    out = replay.replay(replay.from_events(m.raw.where("kind = 'session_ended'").withColumnRenamed("event_id", "ord"), driver_events(m)), scripted=True)
     last = out.groupBy("venue", "symbol").agg(F.max_by(F.struct("status", "best_bid", "best_ask", "levels_held"), "ord").alias("s"))
     return last.select("venue", "symbol", (F.col("s.status") == "live").alias("live"), F.col("s.best_bid").cast("double").alias("bid"), F.col("s.best_ask").cast("double").alias("ask"))
 

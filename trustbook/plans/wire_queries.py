@@ -6,13 +6,16 @@ and the book are the state operator's. The SQL beside each query says what the b
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.wire import checksum
 from ..operators import trust
-from ..sources import driver
+from ..sources import archive, driver
 from ..streaming import replay
+from . import queries
 from .oracles import BASE
 
 #: A sequence number is skipped before every so many events; a checksum is wrong on every so many; REST depth is so old.
@@ -90,6 +93,21 @@ def q_wire_bitstamp(spark, sf_dir):
     return _result(replay.replay(_messages(m, "bitstamp", payload, F.when(F.col("kind") == "snapshot", "rest_snapshot").otherwise("web_socket"))))
 
 
+def q_archive_replay(spark, sf_dir):
+    """Two runs with offsets of their own, archived below two prefixes, merged on the wall clock and replayed."""
+    m = queries.Market(spark, sf_dir)
+    rows = queries.driver_events(m)
+    base = f"{archive.shared_dir(spark)}/trustbook/runs-{uuid.uuid4().hex}"
+    for n in (0, 1):
+        own = rows.where(F.col("event_seq") % 2 == n)
+        archive.write(own.withColumn("ingest_elapsed_nanos", F.col("ingest_elapsed_nanos") - n * driver.HOUR_NS), f"{base}/{n}")
+    merged = archive.timeline(archive.read(spark, [f"{base}/0", f"{base}/1"]), 2)
+    ends = m.raw.where("kind = 'session_ended'").withColumnRenamed("event_id", "ord")
+    out = replay.replay(replay.from_events(ends, merged, at="at_ns"), scripted=True)
+    last = out.groupBy("venue", "symbol").agg(F.count(F.lit(1)).alias("messages"), F.max_by(F.struct("status", "best_bid", "best_ask", "levels_held"), F.struct("elapsed_ns", "ord")).alias("s"))
+    return last.select("venue", "symbol", "messages", (F.col("s.status") == "live").alias("live"), F.col("s.best_bid").cast("double").alias("bid"), F.col("s.best_ask").cast("double").alias("ask"), F.col("s.levels_held").cast("long").alias("levels_held"))
+
+
 _KIND = "CASE event_type WHEN 'signup' THEN 'snapshot' WHEN 'view' THEN 'delta' WHEN 'click' THEN 'delta' WHEN 'purchase' THEN 'trade' ELSE 'session_ended' END AS kind"
 _LIVE = "CASE WHEN kind IN ('snapshot', 'session_ended') THEN kind END"
 _BOOK = """
@@ -156,5 +174,6 @@ SELECT venue, symbol, i AS audits, mismatches, streak::INTEGER AS streak, len(su
 FROM (SELECT *, max(i) OVER (PARTITION BY venue, symbol) AS last FROM fo) WHERE i = last"""
 )
 
-QUERIES = {f.__name__: f for f in (q_wire_coinbase, q_wire_kraken, q_wire_bitstamp)}
+QUERIES = {f.__name__: f for f in (q_wire_coinbase, q_wire_kraken, q_wire_bitstamp, q_archive_replay)}
 ORACLES = {"q_wire_coinbase": _COINBASE, "q_wire_kraken": _KRAKEN, "q_wire_bitstamp": _BITSTAMP, "q_rendezvous": _RENDEZVOUS, "q_audit_trail": _TRAIL}
+ORACLES["q_archive_replay"] = BASE + "SELECT venue, symbol, messages, live, bid::DOUBLE AS bid, ask::DOUBLE AS ask, levels_held FROM tp JOIN (SELECT venue, symbol, count(*) AS messages FROM t GROUP BY ALL) USING (venue, symbol)"

@@ -32,6 +32,14 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def priced(m: DataFrame) -> DataFrame:
+    """Adds levels (what a message says: two of a snapshot, one of a delta) and price (of a trade), on an integer grid around 1000."""
+    level = lambda side, price: F.struct(F.lit(side).alias("side"), price.cast("decimal(18,8)").alias("price"), F.col("qty").cast("decimal(18,8)").alias("qty"))
+    bid, ask = level("bid", 999 - F.col("tv")), level("ask", 1001 + F.col("tv"))
+    levels = F.when(F.col("kind") == "snapshot", F.array(bid, ask)).when(F.col("side") == "bid", F.array(bid)).when(F.col("side") == "ask", F.array(ask))
+    return m.withColumns({"levels": levels, "price": F.when(F.col("kind") == "trade", (1000 + F.col("tv")))})
+
+
 def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as prints: venue, symbol, price, qty, at_ns."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", "l_linestatus", "l_extendedprice", "l_quantity", "l_shipdate")

@@ -22,11 +22,14 @@ def from_frames(tape: DataFrame) -> DataFrame:
     return tape.select("venue", "symbol", ord_.alias("ord"), F.col("elapsed_nanos").alias("elapsed_ns"), F.col("recorded_wall_unix_nanos").alias("wall_ns"), F.coalesce("kind", F.lit("frame")).alias("input"), F.coalesce("source", F.lit("web_socket")).alias("source"), "payload")
 
 
-def from_events(boundaries: DataFrame | None, rows: DataFrame) -> DataFrame:
-    """Messages of event rows (one per level); an archive has no boundaries, so they are optional."""
+def from_events(boundaries: DataFrame | None, rows: DataFrame, at: str = "ingest_elapsed_nanos") -> DataFrame:
+    """Messages of event rows (one per level); an archive has no boundaries (venue, symbol, ord, at_ns), so they are optional.
+
+    Rows of several runs come with their ``run`` and are put on one time line first (``archive.timeline``, at="at_ns").
+    """
     lvl = lambda side: F.transform(F.filter("l", lambda x: x["side"] == side), lambda x: F.array(x["price"], x["qty"]))
     one = F.col("l")[0]
-    key = ["venue", "symbol", "event_seq", "kind", "ingest_elapsed_nanos", "ingest_wall_unix_nanos"]
+    key = ["venue", "symbol", "event_seq", "kind", at, *(c for c in ("ingest_wall_unix_nanos", "run") if c in rows.columns)]
     e = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("level_index", "side", "price", "qty", "checksum", "heartbeat_counter", "taker_side"))).alias("l"), F.first("venue_ts_unix_nanos").alias("ts"))
     body = (
         F.when(F.col("kind").isin("snapshot", "delta"), F.concat_ws(",", F.to_json(lvl("bid")), F.to_json(lvl("ask"))))
@@ -35,11 +38,11 @@ def from_events(boundaries: DataFrame | None, rows: DataFrame) -> DataFrame:
         .otherwise(F.coalesce(one["heartbeat_counter"].cast("string"), F.lit("null")))
     )
     text = F.concat(F.lit('{"action":["'), F.col("kind"), F.lit('",'), body, F.lit('],"venue_ts":'), F.coalesce(F.col("ts").cast("string"), F.lit("null")), F.lit("}"))
-    out = e.select("venue", "symbol", F.col("event_seq").alias("ord"), F.col("ingest_elapsed_nanos").alias("elapsed_ns"), F.col("ingest_wall_unix_nanos").alias("wall_ns"), F.lit("event").alias("input"), F.lit(None).cast("string").alias("source"), text.alias("payload"))
+    out = e.select("venue", "symbol", F.col("event_seq").alias("ord"), F.col(at).alias("elapsed_ns"), F.col("ingest_wall_unix_nanos").alias("wall_ns"), F.lit("event").alias("input"), F.lit(None).cast("string").alias("source"), text.alias("payload"))
     if boundaries is None:
         return out
-    first = rows.agg(F.min(F.col("ingest_wall_unix_nanos") - F.col("ingest_elapsed_nanos")).alias("o"))
-    ends = boundaries.join(first).select("venue", "symbol", F.col("event_id").alias("ord"), (F.col("at_ns") - F.col("o")).alias("elapsed_ns"), F.col("at_ns").alias("wall_ns"), F.lit("session_ended").alias("input"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("payload"))
+    first = F.broadcast(rows.agg(F.min(F.col("ingest_wall_unix_nanos") - F.col(at)).alias("o")))
+    ends = boundaries.join(first).select("venue", "symbol", "ord", (F.col("at_ns") - F.col("o")).alias("elapsed_ns"), F.col("at_ns").alias("wall_ns"), F.lit("session_ended").alias("input"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("payload"))
     return out.unionByName(ends)
 
 

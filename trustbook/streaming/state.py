@@ -87,9 +87,9 @@ def audit(bids: Side, asks: Side, their_bids: list, their_asks: list, guard_bps:
 class Stream:
     """State of one (venue, symbol)."""
 
-    def __init__(self, venue: str, symbol: str, integrity: int | None = None, consecutive: int = 2, guard_bps: int = 10) -> None:
+    def __init__(self, venue: str, symbol: str, integrity: int | None = None, consecutive: int = 2, guard_bps: int = 10, scripted: bool = False) -> None:
         self.name, self.symbol, self.consecutive, self.guard_bps = venue, symbol, consecutive, guard_bps
-        self.forced = integrity
+        self.forced, self.scripted = integrity, scripted
         self.sync = self._adapter()
         self.bids, self.asks = Side(True), Side(False)
         self.status, self.integrity, self.reason, self.detail = "uninitialized", None, None, None
@@ -97,7 +97,7 @@ class Stream:
         self.streak, self.suspects = 0, []
 
     def _adapter(self) -> Venue:
-        sync = adapter(self.name, self.symbol)
+        sync = adapter(self.name, self.symbol, self.scripted)
         if self.forced is not None:
             sync.integrity = self.forced
         return sync
@@ -225,7 +225,7 @@ class Stream:
     @classmethod
     def restore(cls, text: str) -> Stream:
         s = json.loads(text)
-        out = cls(s["name"], s["symbol"], s["forced"], s["consecutive"], s["guard_bps"])
+        out = cls(s["name"], s["symbol"], s["forced"], s["consecutive"], s["guard_bps"], s["scripted"])
         out.sync.load(s.pop("sync"))
         out.bids.fill(s.pop("b"))
         out.asks.fill(s.pop("a"))
