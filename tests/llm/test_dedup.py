@@ -184,24 +184,70 @@ def test_gray_index_confirms_links():
 
 
 def test_lines_of_recurring_templates_go(spark):
-    rows = [(i, f"Unique sentence number word{chr(97 + i)} stays here\nPosted by user{i} on 2024-01-0{i} at page\n\nend {chr(97 + i)}", "en", "s", 0) for i in range(6)] + [(50, "Unique sentence of its own", "en", "s", 0), (51, None, "en", "s", 0)]
+    own = ["Rain fell on the hills all night", "Nobody knew where the keys had gone", "Her brother sold maps and old clocks", "A train leaves for the coast today", "Three ships lay outside the harbour", "Bread costs more than it used to"]
+    rows = [(i, f"{own[i]}\nPosted by user{i} on 2024-01-0{i} at page\n\nSent from {chr(97 + i)}rn and signed\nend {chr(97 + i)}", "en", "s", 0) for i in range(6)] + [(50, "Unique sentence of its own", "en", "s", 0), (51, None, "en", "s", 0)]
     out = {r["doc_id"]: (r["n_lines"], r["dropped"]) for r in lines.marked(frame(spark, rows)).collect()}
-    assert all(out[i] == (4, [1]) for i in range(6))
+    assert all(out[i] == (5, [1, 3]) for i in range(6))
     assert out[50] == (1, []) and out[51] == (0, [])
     cleaned = {r["doc_id"]: r["text"] for r in lines.clean(frame(spark, rows)).collect()}
-    assert cleaned[0] == "Unique sentence number worda stays here\n\nend a"
+    assert cleaned[0] == f"{own[0]}\n\nend a"
+
+
+def brute_lines(rows, min_docs=5):
+    """The operator's rules over dictionaries of whole strings, without its code or its hashes."""
+    mask = lambda w: "*" if re.search(r"[0-9@]", w) or "://" in w else w
+    split = {r[0]: [tuple(mask(w) for w in x.split()) for x in (r[1] or "").split("\n")] for r in rows}
+    text = {r[0]: r[1] for r in rows}
+    have = {}
+    for d, forms in split.items():
+        for f in set(forms) - {()}:
+            have.setdefault(f, set()).add(d)
+    recurs = {f for f, ds in have.items() if len(ds) >= min_docs or (sum(w != "*" for w in f) >= 8 and len({text[d] for d in ds}) > 1)}
+    shared = {}
+    for f, ds in have.items():
+        shared.setdefault((len(f), f[:2]), set()).update(ds)
+    leaves = {}
+    for f, ds in have.items():
+        if f not in recurs and len(f) > 2 and len(shared[len(f), f[:2]]) >= min_docs:
+            leaves.setdefault((len(f), f[:2]), {})[f] = ds
+    dropped = set(recurs)
+    for forms in leaves.values():
+        docs = set().union(*forms.values())
+        enough = max(min_docs, len(docs) / 3)
+        places = {}
+        for f, ds in forms.items():
+            for i, w in enumerate(f):
+                if w != "*":
+                    places.setdefault((i, w), set()).update(ds)
+        made = {}
+        for f in forms:
+            t = tuple(w if len(places.get((i, w), ())) >= enough else "*" for i, w in enumerate(f))
+            if sum(w != "*" for w in t) >= 0.6 * len(t):
+                made.setdefault(t, []).append(f)
+        if len(docs) >= min_docs:
+            for fs in made.values():
+                if len(set().union(*(forms[f] for f in fs))) >= enough:
+                    dropped.update(fs)
+    return {d: [i for i, f in enumerate(forms) if f in dropped] for d, forms in split.items()}
 
 
 def test_lines_against_brute_force(spark):
     random.seed(2)
-    pool = [f"the {w} page was seen {n} times by all who came" for w in ("red", "blue") for n in range(4)] + ["short line", "x"]
-    rows = [(i, "\n".join(random.choice(pool + [f"own line {i} {random.random()} of text"]) for _ in range(4)), "en", "s", 0) for i in range(40)]
-    docs_of = {}
-    for r in rows:
-        for k in {k for x in r[1].split("\n") for k in lines.templates(x)}:
-            docs_of[k] = docs_of.get(k, 0) + 1
-    want = {r[0]: [i for i, x in enumerate(r[1].split("\n")) if any(docs_of[k] >= lines.MIN_DOCS for k in lines.templates(x))] for r in rows}
-    assert {r["doc_id"]: r["dropped"] for r in lines.marked(frame(spark, rows)).collect()} == want
+    names = [f"name{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(5)]
+    pool = [lambda: f"the {random.choice(['red', 'blue'])} page was seen {random.randrange(4)} times by all who came", lambda: "short line", lambda: "x", lambda: f"Posted by {random.choice(names)} in {random.choice(names)}", lambda: f"Filed under {random.choice(names)} by {random.choice(names)} and friends", lambda: f"Filed under {random.choice(names)} on a {random.choice(names)} day", lambda: " ".join(["It was", *random.choices(names, k=3)]), lambda: "", lambda: f"see http://a/{random.random()} now"]
+    rows = [(i, "\n".join(random.choice(pool)() for _ in range(5)), "en", "s", 0) for i in range(60)]
+    rows += [(100 + i, rows[i][1], "en", "s", 0) for i in range(3)]
+    got = {r["doc_id"]: r["dropped"] for r in lines.marked(frame(spark, rows)).collect()}
+    want = brute_lines(rows)
+    assert got == want
+    kind = lambda start: [(i in want[r[0]]) for r in rows for i, x in enumerate(r[1].split("\n")) if x.startswith(start)]
+    assert all(kind("Posted by")) and all(kind("Filed under")) and not any(kind("It was")) and all(kind("the "))
+
+
+def test_lines_against_brute_force_on_the_given_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    assert {r["doc_id"]: r["dropped"] for r in lines.marked(docs).collect()} == brute_lines(rows)
 
 
 def test_long_lines_of_two_different_texts_go(spark):
