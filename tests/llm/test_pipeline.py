@@ -26,6 +26,36 @@ def test_stages_take_effect(spark):
     assert packed.where("start = 0").count() == mix.count()
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Repeated and null ids, null and empty texts and clashing columns go through every stage; rows aren't mixed up."""
+    from .data import SCHEMA, edge_rows, frame
+
+    spark.createDataFrame([(4, 0, 0), (9, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    shared = [(20, "first text under one id, of some length", "en", "a", 0), (20, "quite another text under the same id here", "en", "a", 0), (20, "first text under one id, of some length", "en", "b", 0)]
+    docs = frame(spark, edge_rows() + shared)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), SCHEMA)
+        assert docs.columns == before.columns and docs.count() > 0, name
+        assert docs.exceptAll(before).count() == 0 or name == "mixing", name
+        if name in ("exact_dedup", "simhash_dedup"):
+            texts = [r["text"] for r in docs.where("doc_id = 20").collect()]
+            assert sorted(texts) == sorted({shared[0][1], shared[1][1]}), name
+            assert [r["doc_id"] for r in docs.where("text LIKE 'long words%'").collect()] == [6]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= docs.count()
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    from .data import SCHEMA
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame([], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
+
+
 def test_registered():
     import __spark_entry__ as e
 

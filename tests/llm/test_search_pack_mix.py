@@ -83,18 +83,24 @@ def unpack(rows, window):
 
 
 def test_packing_round_trip(spark):
-    rows = [r for r in edge_rows() if r[0] != 4] + [(100 + i, "some words to pack " * (7 * i), "en", "s", 0) for i in range(120)]
+    rows = edge_rows() + [(100 + i, "some words to pack " * (7 * i), "en", "s", 0) for i in range(120)]
     out = packing.pack(frame(spark, rows), VOCABULARY).collect()
     seqs, docs = unpack(out, 2048)
     tok = Tokenizer.from_file(VOCABULARY)
+    coded = {}
     for doc, text, *_ in rows:
-        ids = [*tok.encode(text or "", add_special_tokens=False).ids, 1]
-        pieces = sorted(docs[doc, len(ids)])
-        assert sum(p[1] for p in pieces) == len(ids)
-        at = 0
-        for start, length, crc in pieces:
-            assert start == at and zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes()) == crc
-            at += length
+        coded.setdefault(doc, []).append([*tok.encode(text or "", add_special_tokens=False).ids, 1])
+    for doc, texts in coded.items():
+        # every id of every row lies in exactly one piece; repeated rows have pieces of their own
+        for ids in texts:
+            pieces = docs[doc, len(ids)]
+            alike = sum(len(x) == len(ids) for x in texts)
+            covered = np.zeros(len(ids), int)
+            for start, length, crc in pieces:
+                covered[start : start + length] += 1
+                assert any(len(x) == len(ids) and zlib.crc32(np.array(x[start : start + length], "<u4").tobytes()) == crc for x in texts)
+            assert (covered == alike).all()
+    assert sum(len(p) for p in docs.values()) == len(out)
     total = sum(n for p in seqs.values() for _, n in p)
     assert len(seqs) * 2048 - total < 0.03 * total + 2048
 
@@ -141,6 +147,26 @@ def mix_rows():
     return [(i, "word " * (1 + (i * 7) % 50), "en", "abcdefg"[min(6, i % 11)], 0) for i in range(500)] + edge_rows()
 
 
+def test_each_document_is_taken_as_a_plain_walk_takes_it(spark):
+    """The words taken of every document: sources in order of their keys, whole epochs, then until the budget ends."""
+    docs = frame(spark, mix_rows())
+    got = sorted(((r["source"] or "", str(r["doc_id"]), r["size"], r["taken"]) for r in mixing.mix_plan(docs).collect()))
+    by = {}
+    for r in mixing.drawn(docs).collect():
+        by.setdefault(r["source"], []).append((r["key"], r["doc_id"] is None, r["doc_id"] or 0, r["size"]))
+    order = sorted(by, key=lambda s: (s is None, (s or "").encode()))
+    totals = [sum(x[3] for x in by[s]) for s in order]
+    want = []
+    for source, total, target in zip(order, totals, water(totals, [(5, 2, 1)[i % 3] for i in range(len(order))]), strict=True):
+        epochs = int(target // total) if total else 0
+        left = int(target) - epochs * total if total else 0
+        for _, null, doc, size in sorted(by[source]):
+            part = max(0, min(left, size))
+            left -= part
+            want.append((source or "", "None" if null else str(doc), size, epochs * size + part))
+    assert got == sorted(want)
+
+
 def test_mixing_meets_its_targets(spark):
     rows = mix_rows()
     out = mixing.mix_plan(frame(spark, rows)).collect()

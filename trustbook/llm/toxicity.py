@@ -162,7 +162,8 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def train(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = EPOCHS) -> Model | None:
+def train(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = EPOCHS, informed: bool = True) -> Model | None:
+    """informed: the first embedding coordinate starts from log odds and half of the filters on it (else all at random)."""
     y = np.asarray(labels, np.float32)
     if len(set(labels)) < 2:
         return None
@@ -181,10 +182,11 @@ def train(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = E
     odds = np.log((df[1] + 0.3) / (n[1] + 0.6)) - np.log((df[0] + 0.3) / (n[0] + 0.6))
     trust = df.sum(0) / (df.sum(0) + 4)
     emb = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
-    emb[:, 0] = np.clip(odds * trust, -1, 4) / 2
+    if informed:
+        emb[:, 0] = np.clip(odds * trust, -1, 4) / 2
     emb[0] = 0
     w = [rng.normal(0, 0.2, (k, DIM, FILTERS)).astype(np.float32) for k in WIDTHS]
-    for x in w:
+    for x in w if informed else ():
         x[:, 0, : FILTERS // 2] += 0.8 / len(x)
     bias = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
     out = np.full(FILTERS * len(WIDTHS), 0.1, np.float32)
