@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from trustbook.plans import oracles, queries, wire_queries
+from trustbook.plans import oracles, published_queries, queries, wire_queries
 
-QUERIES = queries.QUERIES | wire_queries.QUERIES
-ORACLES = oracles.ORACLES | wire_queries.ORACLES
+QUERIES = queries.QUERIES | wire_queries.QUERIES | published_queries.QUERIES
+ORACLES = oracles.ORACLES | wire_queries.ORACLES | published_queries.ORACLES
 
 SF = "/root/testdata/sf0.001"
 

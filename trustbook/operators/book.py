@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .trust import STREAM
+from .trust import STREAM, neighbour
 
 KEY = (*STREAM, "epoch")
 
@@ -106,6 +106,23 @@ def touch_timeline(messages: DataFrame, levels: DataFrame) -> DataFrame:
     return out.withColumn("mid", ((F.col("bid") + F.col("ask")) / 2).cast("decimal(18,8)")).withColumn("spread", (F.col("ask") - F.col("bid")).cast("decimal(18,8)"))
 
 
+def ladders_at(messages: DataFrame, levels: DataFrame, first_ns: int, last_ns: int, every_ns: int, depth: int = 10) -> DataFrame:
+    """The best ``depth`` levels of each side as of every tick: (venue, symbol, seq, tick_ns, side, level, price, qty), seq from 1.
+
+    A level holds from its message to the next one on its price, or to the snapshot that ends its epoch (a book that isn't
+    live any more is still held). It is written to the ticks that it spans, so rows are those of the books at the ticks.
+    """
+    n = max(0, (last_ns - first_ns) // every_ns)
+    starts = neighbour(messages.where("kind = 'snapshot'").select(*KEY, "at_ns"), "at_ns", "at_ns", "stop", after=True).drop("at_ns")
+    w = Window.partitionBy(*KEY, "side", "price").orderBy("at_ns")
+    held = levels.withColumn("next", F.lead("at_ns").over(w)).where("qty > 0").join(starts, list(KEY))
+    to_tick = lambda at: F.call_function("div", at - first_ns + every_ns - 1, F.lit(every_ns))
+    held = held.withColumns({"a": F.greatest(to_tick(F.col("at_ns")), F.lit(1)), "b": F.coalesce(F.least(to_tick(F.coalesce("next", "stop")) - 1, F.lit(n)), F.lit(n))}).where("b >= a")
+    rows = held.select(*STREAM, F.explode(F.sequence("a", "b")).alias("seq"), "side", "price", "qty")
+    best = Window.partitionBy(*STREAM, "seq", "side").orderBy(best_first())
+    return rows.withColumn("level", F.row_number().over(best)).where(F.col("level") <= depth).withColumn("tick_ns", F.lit(first_ns) + F.col("seq") * every_ns)
+
+
 def last_trade(messages: DataFrame, as_of: Column) -> DataFrame:
     """The latest print (price, qty) of each stream and its age."""
     t = messages.where(F.col("kind") == "trade").groupBy(*STREAM).agg(F.max_by(F.struct("price", "qty", "at_ns"), "at_ns").alias("t"))

@@ -33,6 +33,17 @@ def winners(views: DataFrame) -> DataFrame:
     return views.withColumn("place", F.row_number().over(w)).withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy("venue", "symbol")))
 
 
+def consolidated(views: DataFrame, reports: DataFrame, now_ms: Column, max_lag_ms: int = MAX_LAG_MS) -> DataFrame:
+    """One view of each stream over the nodes whose snapshots are fresh enough: the freshest node's, its age and that of its
+    windows (lag_ms) advanced by the lag. Touch and windows across venues are computed from these anew.
+
+    views: node, venue, symbol, age_ns and others; reports: node, received_ms. Nodes are a handful.
+    """
+    fresh = nodes(reports, now_ms, max_lag_ms).where("included").select("node", "lag_ms")
+    v = views.join(F.broadcast(fresh), "node").withColumn("age_ns", F.col("age_ns") + F.col("lag_ms") * 1_000_000)
+    return winners(v.withColumn("age_ms", F.call_function("div", F.col("age_ns"), F.lit(1_000_000)))).where("place = 1").drop("place", "age_ms")
+
+
 def duplicates(views: DataFrame) -> DataFrame:
     """Streams that more than one included node reports, with the winner and all reporters."""
     w = winners(views)

@@ -41,6 +41,27 @@ def counters(messages: DataFrame) -> DataFrame:
     return messages.groupBy(*STREAM).agg(F.count(F.lit(1)).alias("messages"), *(F.count_if(F.col("kind") == k).alias(f"{k}s") for k in kinds), F.count_if((F.col("kind") == "delta") & F.col("live")).alias("applied"), F.count_if((F.col("kind") == "delta") & ~F.col("live")).alias("refused"))
 
 
+def stream_counters(messages: DataFrame, timeline: DataFrame) -> DataFrame:
+    """The monotone counters of each stream that a recording can show; those of failures that leave no message
+    (connect_failures, idle_timeouts, dropped, rest_failures, audit_failures) are NULL.
+
+    messages: what the state operator takes, in the order elapsed_ns; timeline: what it gives.
+    """
+    frame = F.col("input") != "session_ended"
+    m = neighbour(messages.select(*STREAM, "elapsed_ns", "input", "source", F.octet_length("payload").alias("size")), "input", "elapsed_ns", "before")
+    came = m.groupBy(*STREAM).agg(
+        F.count_if(frame & (F.col("source") == "web_socket")).alias("frames"), F.coalesce(F.sum(F.when(frame, F.col("size"))), F.lit(0)).alias("bytes"),
+        F.count_if(frame & (F.col("before").isNull() | (F.col("before") == "session_ended"))).alias("connects"), F.count_if(~frame).alias("disconnects"),
+        F.count_if(frame & (F.col("source") == "rest_snapshot")).alias("rest_fetches"), F.count_if(frame & (F.col("source") == "rest_audit")).alias("audit_fetches"),
+    )
+    events = lambda kind: F.sum(F.size(F.filter("events", lambda x: x["kind"] == kind))).alias(f"{kind}s")
+    t = neighbour(timeline.select(*STREAM, "elapsed_ns", "status", "parse_error", "events"), "status", "elapsed_ns", "was")
+    fell = (F.col("status") == "desynced") & (F.coalesce("was", F.lit("uninitialized")) != "desynced")
+    did = t.groupBy(*STREAM).agg(F.count("parse_error").alias("parse_errors"), events("heartbeat"), events("trade"), F.count_if(fell).alias("desyncs"), F.count_if(F.size("events") > 0).alias("applied"))
+    unseen = {c: F.lit(None).cast("long") for c in ("connect_failures", "idle_timeouts", "dropped", "rest_failures", "audit_failures")}
+    return came.join(did, list(STREAM)).withColumns(unseen)
+
+
 def rollup(messages: DataFrame) -> DataFrame:
     return messages.rollup("symbol", "venue").agg(F.count(F.lit(1)).alias("messages"), F.count_if(F.col("kind") == "trade").alias("trades"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import partition_name, span_label
@@ -23,10 +23,13 @@ def _d(c):
 class Market:
     """What the queries of one call share; every part is lazy but the two ends of the time line."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+    def __init__(self, spark: SparkSession, sf_dir: str, part: Column | None = None) -> None:
+        events = spark.read.parquet(f"{sf_dir}/events.parquet")
         self.raw = driver.messages(spark, sf_dir)
+        if part is not None:
+            events, self.raw = events.where(part), self.raw.where(part)
         # parquet statistics answer this without reading the column
-        e = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(*((F.unix_micros(F.col(c).cast("timestamp")) * 1000).alias(c) for c in "ab")).first()
+        e = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(*((F.unix_micros(F.col(c).cast("timestamp")) * 1000).alias(c) for c in "ab")).first()
         self.first_ns, self.last_ns = e["a"] or 0, e["b"] or 0
         self.origin, self.now = F.lit(self.first_ns), F.lit(self.last_ns)
         self.end = (self.last_ns - self.first_ns) // RES_NS

@@ -80,8 +80,7 @@ def q_wire_kraken(spark, sf_dir):
     return _result(replay.replay(_messages(m, "kraken", F.when(F.col("kind") == "trade", trade).otherwise(book))))
 
 
-def q_wire_bitstamp(spark, sf_dir):
-    """A book begins with a REST answer of some age; the diffs that were buffered since that age are spliced onto it."""
+def bitstamp_messages(spark, sf_dir) -> DataFrame:
     m = _market(spark, sf_dir)
     pair = F.lower(F.concat("market", F.lit("usd")))
     micros = lambda ns: F.call_function("div", ns, F.lit(1000)).cast("string")
@@ -90,7 +89,12 @@ def q_wire_bitstamp(spark, sf_dir):
     frame = lambda event, channel, data: F.to_json(F.struct(F.lit(event).alias("event"), F.concat(F.lit(channel), pair).alias("channel"), data.alias("data")))
     rest = F.to_json(F.struct(micros(F.col("at_ns") - REST_LAG_NS).alias("microtimestamp"), "bids", "asks"))
     payload = F.when(F.col("kind") == "snapshot", rest).when(F.col("kind") == "trade", frame("trade", "live_trades_", trade)).otherwise(frame("data", "diff_order_book_", diff))
-    return _result(replay.replay(_messages(m, "bitstamp", payload, F.when(F.col("kind") == "snapshot", "rest_snapshot").otherwise("web_socket"))))
+    return _messages(m, "bitstamp", payload, F.when(F.col("kind") == "snapshot", "rest_snapshot").otherwise("web_socket"))
+
+
+def q_wire_bitstamp(spark, sf_dir):
+    """A book begins with a REST answer of some age; the diffs that were buffered since that age are spliced onto it."""
+    return _result(replay.replay(bitstamp_messages(spark, sf_dir)))
 
 
 def q_archive_replay(spark, sf_dir):
