@@ -532,3 +532,22 @@ def test_plans_have_no_nested_loops_and_prune_columns(spark):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", plan), name
         assert all("props" not in s or "value" in s for s in re.findall(r"ReadSchema: (\S+)", plan))
+
+
+def test_attempts_start_anew_after_a_long_session(spark):
+    df = spark.createDataFrame([("n", t, d) for t, d in ((1, 5), (2, 29_999), (3, 30_000), (9_000_000, 1), (9_000_001, 2), (9_000_002, 60_000))], "node string, at_ms long, lasted_ms long")
+    assert [r["attempt"] for r in gateway.attempts(df).orderBy("at_ms").collect()] == [1, 2, 0, 1, 2, 0]
+
+
+def test_a_node_that_renews_in_time_settles(spark):
+    times = gateway.renewals(spark.createDataFrame([("n",)], "node string"), 0, 30_000)
+    out = gateway.lease_states(times.withColumn("ok", F.col("at_ms") != 9_000)).orderBy("at_ms").collect()
+    assert [r["at_ms"] for r in out] == list(range(0, 30_001, 3_000))
+    assert all(r["holds"] for r in out) and [r["at_ms"] for r in out if r["settled"]] == [18_000, 21_000, 24_000, 27_000, 30_000]
+
+
+def test_the_gateway_takes_each_stream_from_the_freshest_node(spark):
+    views = spark.createDataFrame([("a", "v", "s", 5_000_000, 1), ("b", "v", "s", 4_000_000, 2), ("a", "w", "s", 7_000_000, 3), ("c", "v", "s", 0, 4)], "node string, venue string, symbol string, age_ns long, bid int")
+    reports = spark.createDataFrame([("a", 1000), ("b", 997), ("c", 10), ("d", None)], "node string, received_ms long")
+    got = {(r["venue"], r["node"], r["bid"], r["age_ns"], r["lag_ms"]) for r in gateway.consolidated(views, reports, F.lit(1000), 100).collect()}
+    assert got == {("v", "a", 1, 5_000_000, 0), ("w", "a", 3, 7_000_000, 0)}

@@ -54,7 +54,7 @@ def profile(levels: DataFrame, best: DataFrame, key: tuple[str, ...] = STREAM) -
     """Disagreement by distance from the best price, in bands of basis points."""
     j = levels.join(best, [*key, "side"]).withColumn("bps", F.abs(F.col("price") - F.col("best")) * 10000 / F.col("best"))
     band = F.when(F.col("bps") < 1, "0-1").when(F.col("bps") < 5, "1-5").when(F.col("bps") < 10, "5-10").when(F.col("bps") < 25, "10-25").otherwise("25+")
-    return j.withColumn("band", band).groupBy("band").agg(F.count(F.lit(1)).alias("levels"), F.count_if("differs").alias("disagree"))
+    return j.withColumn("band", band).groupBy("band").agg(F.count(F.lit(1)).alias("levels"), F.count_if("differs").alias("disagree")).withColumn("percent", F.bround(F.col("disagree") * 100.0 / F.col("levels"), 4))
 
 
 def trail(audits: DataFrame, consecutive: int = 2, key: tuple[str, ...] = STREAM) -> DataFrame:

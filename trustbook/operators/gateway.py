@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import ordered_weight
+from .trust import running
 
 MAX_LAG_MS = 3000
 
@@ -78,10 +79,26 @@ def backoff(spark, base_ms: int, cap_ms: int, attempts: int) -> DataFrame:
     return spark.range(attempts).select(F.col("id").alias("attempt"), ceiling.alias("ceiling_ms"), F.floor(ceiling / 2).cast("long").alias("least_ms"))
 
 
-def lease_states(observations: DataFrame, ttl_ms: int = 15_000, renew_ms: int = 3_000, guard_ms: int = 2_000) -> DataFrame:
+def attempts(sessions: DataFrame, reset_ms: int = 30_000) -> DataFrame:
+    """Adds attempt: failed tries since the last session that lasted long enough to start the schedule anew (that one has 0).
+
+    sessions: node, at_ms (when it ended), lasted_ms.
+    """
+    long = F.col("lasted_ms") >= reset_ms
+    out = running(running(sessions, long.cast("long"), "at_ms", "resets", F.sum, ("node",), slice_ns=1 << 22), F.lit(1).cast("long"), "at_ms", "tries", F.sum, ("node",), slice_ns=1 << 22)
+    start = out.where(long).groupBy(F.col("node").alias("n"), F.col("resets").alias("r")).agg(F.min("tries").alias("first"))
+    out = out.join(start, (F.col("node") == F.col("n")) & (F.col("resets") == F.col("r")), "left")
+    return out.withColumn("attempt", F.col("tries") - F.coalesce("first", F.lit(0))).drop("n", "r", "first", "resets", "tries")
+
+
+def renewals(members: DataFrame, first_ms: int, last_ms: int, renew_ms: int = 3_000) -> DataFrame:
+    """(node, at_ms): when each node renews its lease; it tries again after each renewal, whether that succeeded or not."""
+    return members.select("node", F.explode(F.sequence(F.lit(first_ms).cast("long"), F.lit(last_ms).cast("long"), F.lit(renew_ms).cast("long"))).alias("at_ms"))
+
+
+def lease_states(observations: DataFrame, ttl_ms: int = 15_000, guard_ms: int = 2_000) -> DataFrame:
     """Simulated lease of a node: renewals at at_ms that succeed or not. It holds up to ttl - guard after the last success and
     owns nothing before it has settled for ttl + guard; a stand-down starts settling anew."""
-    del renew_ms
     w = Window.partitionBy("node").orderBy("at_ms").rowsBetween(Window.unboundedPreceding, 0)
     prev = Window.partitionBy("node").orderBy("at_ms")
     out = observations.withColumn("last_ok", F.last(F.when(F.col("ok"), F.col("at_ms")), ignorenulls=True).over(w)).withColumn("holds", F.coalesce(F.col("at_ms") - F.col("last_ok") <= ttl_ms - guard_ms, F.lit(False)))

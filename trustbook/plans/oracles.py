@@ -138,7 +138,7 @@ SELECT symbol, span_ms::INTEGER AS span_ms, count(*) FILTER (WHERE reason IS NUL
 x AS (SELECT venue, symbol, string_agg(side || ':' || price, ',' ORDER BY n) AS findings FROM (SELECT *, row_number() OVER (PARTITION BY venue, symbol ORDER BY side DESC, price) AS n FROM cmp WHERE differs) WHERE n <= 64 GROUP BY ALL)
 SELECT venue, symbol, coalesce(compared, 0) AS compared, coalesce(differences, 0) AS differences, CASE WHEN differences > 0 THEN 'mismatch' WHEN coalesce(compared, 0) = 0 THEN 'inconclusive' ELSE 'match' END AS outcome, coalesce(findings, '') AS findings
 FROM (SELECT DISTINCT venue, symbol FROM ev) LEFT JOIN f USING (venue, symbol) LEFT JOIN x USING (venue, symbol)""",
-    "q_audit_bands": BASE + _AUDIT + ", p AS (SELECT cmp.*, abs(price - best) * 10000.0 / best AS bps FROM cmp JOIN bst USING (venue, symbol, side)) SELECT CASE WHEN bps < 1 THEN '0-1' WHEN bps < 5 THEN '1-5' WHEN bps < 10 THEN '5-10' WHEN bps < 25 THEN '10-25' ELSE '25+' END AS band, count(*) AS levels, count(*) FILTER (WHERE differs) AS disagree FROM p GROUP BY 1",
+    "q_audit_bands": BASE + _AUDIT + ", p AS (SELECT cmp.*, abs(price - best) * 10000.0 / best AS bps FROM cmp JOIN bst USING (venue, symbol, side)) SELECT CASE WHEN bps < 1 THEN '0-1' WHEN bps < 5 THEN '1-5' WHEN bps < 10 THEN '5-10' WHEN bps < 25 THEN '10-25' ELSE '25+' END AS band, count(*) AS levels, count(*) FILTER (WHERE differs) AS disagree, round_even(count(*) FILTER (WHERE differs) * 100.0::DOUBLE / count(*), 4) AS percent FROM p GROUP BY 1",
     "q_counters": BASE + f"SELECT venue, symbol, {_COUNTS} FROM m GROUP BY venue, symbol",
     "q_counters_rollup": BASE + "SELECT symbol, venue, count(*) AS messages, count(*) FILTER (WHERE kind = 'trade') AS trades FROM t GROUP BY ROLLUP (symbol, venue)",
     "q_rates": BASE + """

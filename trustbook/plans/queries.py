@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import partition_name, span_label
+from ..functions.numbers import skew_ns
 from ..operators import audit, book, cross, gateway, snapshot, trust, windows
 from ..sources import driver
 
@@ -279,8 +280,8 @@ def q_partition_hour(spark, sf_dir):
 def q_clock_skew(spark, sf_dir):
     """Skew of a made-up venue clock (k milliseconds behind or ahead by parity)."""
     m = Market(spark, sf_dir)
-    skew = F.when(F.col("event_id") % 2 == 0, F.col("qty")).otherwise(-F.col("qty")) * 1_000_000
-    s = m.raw.withColumn("skew_ns", skew)
+    made_up = F.when(F.col("event_id") % 2 == 0, F.col("qty")).otherwise(-F.col("qty")) * 1_000_000
+    s = m.raw.withColumn("venue_ts_ns", F.col("at_ns") + made_up).withColumn("skew_ns", skew_ns("venue_ts_ns", "at_ns"))
     return s.groupBy("venue", "symbol").agg(F.count_if(F.col("skew_ns") > 0).alias("ahead"), F.count_if(F.col("skew_ns") < 0).alias("behind"), F.min("skew_ns").alias("least_ns"), F.max("skew_ns").alias("most_ns"))
 
 

@@ -38,6 +38,8 @@ EVENTS = T.StructType(
 KINDS = ("snapshot", "delta", "trade", "checksum", "heartbeat")
 #: Venue -> (rank for ties, integrity, recovery); integrity 0 order_only, 1 gap_detectable, 2 verified.
 VENUES = {"coinbase": (0, 1, "resubscribe"), "kraken": (1, 2, "resubscribe"), "bitstamp": (2, 0, "rest"), "fake": (3, 2, "resubscribe")}
+#: Venue -> (idle timeout in seconds, seconds between depth audits, depth that an audit asks for, depth of the live book; NULL: all) (fixed values).
+ENDPOINTS = {"coinbase": (15, 60, 1000, None), "kraken": (15, 60, 1000, 10), "bitstamp": (30, 60, 1000, None)}
 INTEGRITY = ("order_only", "gap_detectable", "verified")
 #: A message as the state operator takes it: a frame, a boundary, or a stored event.
 MESSAGE = "venue string, symbol string, ord long, elapsed_ns long, wall_ns long, input string, source string, payload string"
