@@ -36,8 +36,9 @@ MAX_DIFF = 2
 SHINGLE = 3
 SEED = 42
 SALTS = 64
-LEVEL_BITS = 8
-#: Node pairs that are expanded at once.
+#: Leading bits of a node, by level of the tree.
+LEVELS = tuple(range(0, BITS + 1, 8))
+#: Pairs of nodes or members that are expanded at once.
 FRONTIER = 1 << 20
 
 
@@ -88,26 +89,51 @@ def bit_count(x: np.ndarray) -> np.ndarray:
 class GrayIndex:
     """Tree over different fingerprints in Gray order; a node is a run that shares its leading bits."""
 
-    def __init__(self, fps: np.ndarray, merged: bool = True) -> None:
-        """merged: equal fingerprints are one component from the start."""
+    def __init__(self, fps: np.ndarray, merged: bool = True, levels: tuple[int, ...] = LEVELS, frontier: int = FRONTIER) -> None:
+        """merged: equal fingerprints are one component from the start; levels: only what agrees in the first number of
+        leading bits meets, and bits beyond the last aren't looked at; frontier: pairs that are expanded at once."""
         self.order = np.argsort(gray_rank(fps), kind="stable")
         self.fps = fps[self.order]
+        self.levels, self.frontier = levels, frontier
         n = len(self.fps)
-        self.starts: list[np.ndarray] = [np.array([0], np.int64)]
-        for bits in range(LEVEL_BITS, BITS + 1, LEVEL_BITS):
-            head = self.fps >> np.uint64(BITS - bits)
+        self.starts: list[np.ndarray] = []
+        for bits in levels:
+            head = self.fps >> np.uint64(BITS - bits) if bits else np.zeros(n, np.uint64)
             self.starts.append(np.concatenate([[0], np.flatnonzero(head[1:] != head[:-1]) + 1]).astype(np.int64) if n else np.zeros(0, np.int64))
         runs = self.starts[-1]
         self.label = np.repeat(runs, np.diff(np.append(runs, n))) if merged else np.arange(n)
 
-    def members(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of the members of each pair of leaves that aren't in one component yet."""
+    def apart(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of nodes have members that aren't all in one component yet."""
+        s = self.starts[level]
+        low, high = np.minimum.reduceat(self.label, s), np.maximum.reduceat(self.label, s)
+        return ~((low[a] == high[a]) & (low[b] == high[b]) & (low[a] == low[b]))
+
+    def members(self, a: np.ndarray, b: np.ndarray):
+        """Pairs of the members of each pair of leaves that aren't in one component yet, in batches; what a batch merges
+        spares the next ones."""
         s = np.append(self.starts[-1], len(self.fps))
-        n = s[b + 1] - s[b]
-        size = (s[a + 1] - s[a]) * n
-        at = np.repeat(np.arange(len(a)), size)
-        nth = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
-        x, y = s[a[at]] + nth // n[at], s[b[at]] + nth % n[at]
+        while len(a):
+            n = s[b + 1] - s[b]
+            size = (s[a + 1] - s[a]) * n
+            if size[0] > self.frontier:
+                cut, ys = 1, np.arange(s[b[0]], s[b[0] + 1])
+                step = max(1, self.frontier // len(ys))
+                for r in range(s[a[0]], s[a[0] + 1], step):
+                    xs, of = np.arange(r, min(r + step, s[a[0] + 1])), self.label[ys]
+                    xs = xs[self.label[xs] != of[0]] if (of == of[0]).all() else xs
+                    yield self._open(np.repeat(xs, len(ys)), np.tile(ys, len(xs)))
+            else:
+                cut = int(np.searchsorted(np.cumsum(size), self.frontier, "right"))
+                at = np.repeat(np.arange(cut), size[:cut])
+                nth = np.arange(len(at)) - np.repeat(np.cumsum(size[:cut]) - size[:cut], size[:cut])
+                yield self._open(s[a[at]] + nth // n[at], s[b[at]] + nth % n[at])
+            a, b = a[cut:], b[cut:]
+            if len(a):
+                on = self.apart(-1, a, b)
+                a, b = a[on], b[on]
+
+    def _open(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ok = (x < y) & (self.label[x] != self.label[y])
         return x[ok], y[ok]
 
@@ -138,35 +164,37 @@ class GrayIndex:
         """
         if len(self.fps) < 2:
             return self.label
-        todo = [(0, np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        own = np.arange(len(self.starts[0]))
+        todo = [(0, own, own, np.zeros(len(own), np.int64))]
         depth = len(self.starts) - 1
         kids = [self.children(i) for i in range(depth)]
         while todo:
             level, a, b, diff = todo.pop()
             # prune groups whose members all have one label already
-            s = self.starts[level]
-            low, high = np.minimum.reduceat(self.label, s), np.maximum.reduceat(self.label, s)
-            open_ = ~((low[a] == high[a]) & (low[b] == high[b]) & (low[a] == low[b]))
+            open_ = self.apart(level, a, b)
             a, b, diff = a[open_], b[open_], diff[open_]
             if not len(a):
                 continue
             if level == depth:
-                x, y = (s[a], s[b]) if confirm is None else self.members(a, b)
-                ok = slice(None) if confirm is None else confirm(x, y)
-                self.merge(x[ok], y[ok])
+                if confirm is None:
+                    self.merge(self.starts[level][a], self.starts[level][b])
+                    continue
+                for x, y in self.members(a, b):
+                    ok = confirm(x, y)
+                    self.merge(x[ok], y[ok])
                 continue
             first, n = kids[level]
             size = n[a] * n[b]
-            if size.sum() > FRONTIER and len(a) > 1:
-                cut = min(max(1, int(np.searchsorted(np.cumsum(size), FRONTIER))), len(a) - 1)
+            if size.sum() > self.frontier and len(a) > 1:
+                cut = min(max(1, int(np.searchsorted(np.cumsum(size), self.frontier))), len(a) - 1)
                 todo.append((level, a[cut:], b[cut:], diff[cut:]))
                 a, b, diff, size = a[:cut], b[:cut], diff[:cut], size[:cut]
             at = np.repeat(np.arange(len(a)), size)
             nth = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
             x, y = first[a[at]] + nth // n[b[at]], first[b[at]] + nth % n[b[at]]
             down = self.starts[level + 1]
-            shift = np.uint64(BITS - LEVEL_BITS * (level + 1))
-            step = bit_count(((self.fps[down[x]] ^ self.fps[down[y]]) >> shift) & np.uint64((1 << LEVEL_BITS) - 1))
+            shift, width = BITS - self.levels[level + 1], self.levels[level + 1] - self.levels[level]
+            step = bit_count(((self.fps[down[x]] ^ self.fps[down[y]]) >> np.uint64(shift)) & np.uint64((1 << width) - 1))
             total = diff[at] + step
             ok = (total <= most) & (x <= y)
             if ok.any():

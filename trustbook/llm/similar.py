@@ -1,15 +1,21 @@
 """Near-duplicates at a Jaccard similarity of word shingles, for the pipeline's stage.
 
 Two texts are near copies if the sets of their five-word shingles have a Jaccard similarity of at
-least 0.8. At 0.8 SimHash fingerprints differ in about ten of 64 bits, too far for buckets of
-agreeing blocks, so texts meet by BANDS bands of ROWS minimal shingle hashes each; a pair at 0.8
-meets in none of them with a chance of 3 in 100,000, a closer pair less often. Texts that bands
-connect make a candidate group, and the Gray-order index of ``simhash`` finds the links inside it:
-fingerprints differing in more than WIDE bits are pruned by whole subtrees, what is in one
+least 0.8. At 0.8 SimHash fingerprints differ in about 15 of 100 bits, too far for one table of
+agreeing blocks, so fingerprints are long: FACE bits that every row carries, and a piece of PIECE
+bits for each of TABLES tables. Two texts meet in a table if the first KEY bits of their pieces
+agree, at most NEAR of the others differ, and at most FAR of the FACE bits. The Gray-order index of
+``simhash`` finds that for all buckets of a table, as the levels of its tree begin at KEY bits. A
+pair at 0.8 meets in no table with a chance of 3 in 100,000, a closer pair less often; unlike
+texts meet twice in 10^9 pairs. Fingerprints of four shingles against five differ most (19 bits of
+100), so texts of fewer than FEW shingles have MORE tables, in which MORE_FAR bits may differ.
+
+What the index links makes a candidate group, and a second index finds the links inside it:
+fingerprints differing in more than WIDE of 64 bits are pruned by whole subtrees, what is in one
 component already isn't looked at again, and every link is confirmed on the shingles themselves.
 
 A group of more than BLOCK texts (or BLOCK_BYTES of text) is dealt to blocks. Its leader, the text
-with the most companions in bands, goes to every block, so that all that is like it gathers in one
+with the most companions in tables, goes to every block, so that all that is like it gathers in one
 component. The texts outside that component are then held against all blocks of their group, in
 blocks of their own; nothing is left out. Tasks give links that span what they see, never all pairs.
 
@@ -34,15 +40,38 @@ from .simhash import BITS, GrayIndex, bit_count
 
 SHINGLE = 5
 SIMILAR = 0.8
-BANDS = 20
-ROWS = 4
+FACE = 128
+FAR = 38
+PIECE = 24
+KEY = 10
+NEAR = 2
+TABLES = 80
+#: Below that number of shingles no two texts of an even number are similar unless their shingles are equal.
+FEW = 8
+MORE = 160
+MORE_FAR = 46
 WIDE = 28
 SEED = 42
 _RNG = np.random.default_rng(SEED)
-_A = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_A = _RNG.integers(0, 1 << 63, (FACE + MORE * PIECE) // BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RNG.integers(0, 1 << 63, len(_A), dtype=np.uint64)
+_C = np.uint64(0xD6E8FEB86659FD93)
+#: A piece, its table's number in front, is at the front of an indexed word; the tree branches every four bits.
+PLACE = 32
+LEVELS = (*range(PLACE - PIECE + KEY, PLACE, 4), PLACE)
+#: What a table holds of a text. Rows travel in packets, one for each slice of buckets that DEALT rows make;
+#: TEXTS are read at once.
+ROW = np.dtype([("word", "<i4"), ("a", "<u8"), ("b", "<u8"), ("th", "<i8")])
+SLICE = 6
+DEALT = 1 << 17
+TEXTS = 512
+#: Rows that are indexed together, if not one slice has more, and pairs that their index expands at once.
+ROWS = 1 << 14
+FRONTIER = 1 << 17
 #: Shingles that are worked on at once.
 STEP = 2048
+#: Shingles whose bits are counted in a byte each.
+COUNTED = 255
 #: Texts, and bytes of text, of a block.
 BLOCK = 1024
 BLOCK_BYTES = 4 << 20
@@ -66,28 +95,107 @@ def fingerprint(h: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
 
 
-def bands(h: np.ndarray) -> list[int]:
-    """Keys of the bands of minimal hashes."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(h), STEP):
-        np.minimum(least, (_A[:, None] * h[at : at + STEP] + _B[:, None]).min(1), out=least)
-    data, size = least.tobytes(), ROWS * 8
-    return [xxhash.xxh64_intdigest(data[i * size : (i + 1) * size], seed=i) for i in range(BANDS)]
-
-
-def _banded(words: int):
-    """(key, th) for each band of each different text of a batch."""
+def _bits(h: np.ndarray, words: int) -> np.ndarray:
+    """Rows of bits, a byte each, that hashes of each hash give."""
+    x = h[:, None] * _A[:words] + _B[:words]
+    x ^= x >> np.uint64(32)
+    x *= _C
+    x ^= x >> np.uint64(29)
+    return np.unpackbits(x.view(np.uint8), axis=1, bitorder="little")
+
+
+def signature(h: np.ndarray, tables: int = TABLES) -> np.ndarray:
+    """Bytes of a long SimHash: the FACE bits, then a piece for each table. Every 64 bits come from a hash of their own of
+    a shingle's hash. Where half of few shingles have a bit, a hash of them all decides: else bits would be rare in texts
+    of two or four shingles, which would look alike. From eight on rarity is slight, and ties that near copies share agree."""
+    words = (FACE + tables * PIECE) // BITS
+    counts = np.zeros(words * BITS, np.int64)
+    for at in range(0, len(h), COUNTED):
+        counts += _bits(h[at : at + COUNTED], words).view(np.uint64).sum(0).view(np.uint8)
+    on = 2 * counts > len(h)
+    if 0 < len(h) < FEW:
+        whole = np.array([xxhash.xxh64_intdigest(h.tobytes(), seed=SEED)], np.uint64)
+        on |= (2 * counts == len(h)) & (_bits(whole, words)[0] > 0)
+    return np.packbits(on, bitorder="little")
+
+
+def pieces(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two words of a text's FACE, and the piece of each table with the table's number in front."""
+    tables = MORE if 0 < len(h) < FEW else TABLES
+    found = signature(h, tables)
+    parts = found[FACE // 8 :].reshape(tables, PIECE // 8).astype(np.uint32)
+    word = np.arange(tables, dtype=np.uint32) << np.uint32(PIECE)
+    for i in range(PIECE // 8):
+        word |= parts[:, i] << np.uint32(8 * i)
+    return found[: FACE // 8].view(np.uint64), word.view(np.int32)
+
+
+def _pieces(words: int):
+    """(slice, rows): the rows of the different texts of a batch, in packets."""
+
+    def packets(held):
+        rows = np.concatenate(held)
+        of = rows["word"].view(np.uint32) >> np.uint32(PIECE - SLICE)
+        order = np.argsort(of, kind="stable")
+        of, data = of[order], rows[order]
+        cuts = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]])
+        ends = pa.py_buffer((cuts * ROW.itemsize).astype(np.int32))
+        packed = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, ends, pa.py_buffer(data.view(np.uint8))])
+        return pa.RecordBatch.from_arrays([pa.array(of[cuts[:-1]].astype(np.int32)), packed], names=["slice", "rows"])
 
     def run(batches):
-        for b in batches:
-            texts = dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-            keys = np.array([k for t in texts.values() for k in bands(hashes(t, words))], np.uint64)
-            ths = np.repeat(np.array(list(texts), np.int64), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ths)], names=["key", "th"])
+        held, n = [], 0
+        for b in (whole.slice(at, TEXTS) for whole in batches for at in range(0, whole.num_rows, TEXTS)):
+            for th, text in dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)).items():
+                face, word = pieces(hashes(text, words))
+                rows = np.empty(len(word), ROW)
+                rows["word"], rows["a"], rows["b"], rows["th"] = word, face[0], face[1], th
+                held.append(rows)
+                n += len(rows)
+                if n >= DEALT:
+                    yield packets(held)
+                    held, n = [], 0
+        if held:
+            yield packets(held)
 
     return run
 
 
+def companions(rows: np.ndarray) -> tuple:
+    """(u, v, n) for rows that meet others in their buckets: the text, the smallest of its component (so that tables name
+    the same one where they can) and the component's size."""
+    word = np.ascontiguousarray(rows["word"]).view(np.uint32)
+    index = GrayIndex(word.astype(np.uint64) << np.uint64(BITS - PLACE), merged=False, levels=LEVELS, frontier=FRONTIER)
+    a, b, th = (rows[c][index.order] for c in ("a", "b", "th"))
+    far = np.where(word[index.order] >> np.uint32(PIECE) < TABLES, FAR, MORE_FAR)
+    label = index.link(NEAR, lambda x, y: bit_count(a[x] ^ a[y]) + bit_count(b[x] ^ b[y]) <= far[x])
+    size = np.bincount(label, minlength=len(label))[label]
+    least = th.copy()
+    np.minimum.at(least, label, th)
+    on = size > 1
+    return th[on], least[label[on]], size[on]
+
+
+def _companions(batches):
+    """Packets in order of their slices to ``companions``, by whole slices."""
+
+    def give():
+        found = companions(np.frombuffer(b"".join(held), ROW))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["u", "v", "n"])
+
+    now, held, n = None, [], 0
+    for batch in batches:
+        for of, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if of != now and n >= ROWS:
+                yield give()
+                held, n = [], 0
+            now = of
+            held.append(rows)
+            n += len(rows) // ROW.itemsize
+    if held:
+        yield give()
+
+
 def _grouped(act, keys: int, names: list[str]):
     """Batches sorted by their first ``keys`` columns to what ``act`` makes of the other columns of each key's rows."""
 
@@ -115,14 +223,6 @@ def _grouped(act, keys: int, names: list[str]):
     return run
 
 
-def _mates(rows: pa.Table) -> tuple:
-    """Every text of a bucket of two at least, with the smallest one and their number."""
-    th = np.unique(rows.column("th").to_numpy())
-    if len(th) < 2:
-        return th[:0], th[:0], th[:0]
-    return th, np.full(len(th), th[0]), np.full(len(th), len(th))
-
-
 class Shingles:
     """Which of some texts have a shingle, and so how many a text shares with each of them."""
 
@@ -210,10 +310,13 @@ def _number(blocks: str):
 def similar_links(texts: DataFrame, words: int = SHINGLE, least: float = SIMILAR) -> DataFrame:
     """(u, v): links that span every component of texts (th, text)."""
     spark = texts.sparkSession
-    keyed = texts.mapInArrow(_banded(words), "key long, th long").repartition(shuffles(spark), "key").sortWithinPartitions("key")
-    mates = materialize(keyed.mapInArrow(_grouped(_mates, 1, ["u", "v", "n"]), "u long, v long, n long"), "mates")
-    roots = components(mates.select("u", "v")).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    members = mates.groupBy(F.col("u").alias("member")).agg(F.sum("n").alias("company")).join(roots, F.col("member") == F.col("node"), "left")
+    rows = texts.mapInArrow(_pieces(words), "slice int, rows binary").repartition(shuffles(spark), "slice").sortWithinPartitions("slice")
+    mates = rows.mapInArrow(_companions, "u long, v long, n long")
+    # a text has at most one name a table, and the texts of a group few names: these are linked to their least, and so is the text
+    named = materialize(mates.groupBy("u").agg(F.sum("n").alias("company"), F.array_sort(F.collect_set("v")).alias("names")), "mates")
+    roots = components(named.select(F.explode(F.array_append("names", F.col("u"))).alias("u"), F.col("names")[0].alias("v")))
+    roots = roots.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    members = named.select(F.col("u").alias("member"), "company").join(roots, F.col("member") == F.col("node"), "left")
     members = materialize(members.select("member", "company", F.coalesce("root", "member").alias("root")), "members")
     # the texts that have companions, each once
     own = texts.join(bounded(members, BROADCAST_ROWS), F.col("th") == F.col("member")).select("th", "text", "root", "company").dropDuplicates(["th"])
